@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import chat
+from evidentia.llm import chat, mixing
 
 
 def queries() -> dict[str, Callable]:
-    return {"op10_chat_format": chat.op10_chat_format}
+    return {
+        "op9_mixing": mixing.op9_mixing,
+        "op10_chat_format": chat.op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.SQL_CHAT}
+    return {
+        "op9_mixing": mixing.SQL_MIXING,
+        "op10_chat_format": chat.SQL_CHAT,
+    }

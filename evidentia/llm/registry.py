@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import chat, mixing
+from evidentia.llm import chat, licences, mixing
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_license_scan": licences.op1_license_scan,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat_format": chat.op10_chat_format,
     }
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licences.SQL_LICENCES,
         "op9_mixing": mixing.SQL_MIXING,
         "op10_chat_format": chat.SQL_CHAT,
     }

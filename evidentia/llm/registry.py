@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import chat, licences, mixing
+from evidentia.llm import chat, licences, mixing, sharding
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_license_scan": licences.op1_license_scan,
+        "op7_sharding": sharding.op7_sharding,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat_format": chat.op10_chat_format,
     }

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import bpe, chat, licences, mixing, sharding
+from evidentia.llm import bpe, chat, langid, licences, mixing, sharding
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_license_scan": licences.op1_license_scan,
         "op5_bpe": bpe.op5_bpe,
+        "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat_format": chat.op10_chat_format,

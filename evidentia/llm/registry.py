@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import bpe, chat, langid, licences, mixing, sharding
+from evidentia.llm import bpe, chat, langid, licences, mixing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_license_scan": licences.op1_license_scan,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_bpe": bpe.op5_bpe,
         "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import bpe, chat, langid, licences, mixing, sharding, toxicity
+from evidentia.llm import bpe, chat, langid, licences, mixing, neardup, sharding, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_license_scan": licences.op1_license_scan,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_near_duplicates": neardup.op4_near_duplicates,
         "op5_bpe": bpe.op5_bpe,
         "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,

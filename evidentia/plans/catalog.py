@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
+from evidentia.plans import register
+from evidentia.plans import scalars, refinement, evidence, retrieval, grids, streams  # noqa: F401  (they register queries)
+
+FLAGSHIP = "q_sales_table"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(register.SQL)

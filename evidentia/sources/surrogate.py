@@ -27,12 +27,12 @@ _BODY = """
       WHEN 6 THEN 'soon'
       ELSE concat('~Q', CAST(quarter(o_orderdate) AS {str}), ' ', CAST(year(o_orderdate) AS {str})) END AS sale_date,
     CASE o_custkey % 10 WHEN 0 THEN 999.0 WHEN 1 THEN 0.0 WHEN 2 THEN CAST(100 + o_orderkey % 800 AS DOUBLE) WHEN 3 THEN NULL ELSE CAST(o_orderkey % 99 + 1 AS DOUBLE) END AS remaining_yrs,
-    CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE (3.0 + o_orderkey % 20 / 10.0) / 100 END AS npi_yield,
-    CASE WHEN o_orderkey % 17 = 0 THEN 0.04 END AS reported_adj,
+    CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE CAST(30 + o_orderkey % 20 AS DOUBLE) / 1000 END AS npi_yield,
+    CASE WHEN o_orderkey % 17 = 0 THEN CAST(0.04 AS DOUBLE) END AS reported_adj,
     CASE c_mktsegment WHEN 'BUILDING' THEN 'Commercial' WHEN 'AUTOMOBILE' THEN 'Business 1' WHEN 'MACHINERY' THEN 'Hotel' WHEN 'HOUSEHOLD' THEN 'Residential with commercial' ELSE 'Business Park' END AS land_zoning,
     CAST(o_orderkey % 10 AS INT) AS relevance_score,
-    CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE 103.60 + o_custkey * 37 % 500 / 1000.0 END AS lon,
-    CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE 1.20 + o_custkey * 53 % 250 / 1000.0 END AS lat,
+    CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE CAST(103600 + o_custkey * 37 % 500 AS DOUBLE) / 1000 END AS lon,
+    CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE CAST(1200 + o_custkey * 53 % 250 AS DOUBLE) / 1000 END AS lat,
     concat('N', CAST(c_nationkey AS {str})) AS country,
     CASE o_orderkey % 8
       WHEN 0 THEN concat('$', CAST({whole} AS {str})) WHEN 1 THEN concat(CAST({whole} AS {str}), '%')
@@ -49,8 +49,8 @@ COMPS_SQL = "comps AS (" + _BODY.format(str="VARCHAR", whole=_WHOLE, mon_year="s
 
 _LEASES = """
   SELECT pos, source, property_name, address, lon, lat, country, sale_date AS lease_date,
-    CASE WHEN pos % 9 = 0 THEN NULL ELSE 5.0 + pos % 80 / 10.0 END AS asking_rent,
-    CASE WHEN pos % 5 = 0 THEN 4.0 + pos % 60 / 10.0 END AS eff_rent,
+    CASE WHEN pos % 9 = 0 THEN NULL ELSE CAST(50 + pos % 80 AS DOUBLE) / 10 + 0.00137 END AS asking_rent,
+    CASE WHEN pos % 5 = 0 THEN CAST(40 + pos % 60 AS DOUBLE) / 10 END AS eff_rent,
     CASE WHEN pos % 4 = 0 THEN NULL ELSE CAST(1 + pos % 7 AS DOUBLE) END AS term_yrs, CAST(pos % 10 AS DOUBLE) AS rent_free_mths,
     CASE WHEN gfa_sf IS NULL THEN NULL ELSE gfa_sf / 10 END AS nla_sf, concat('Tenant ', CAST(pos % 50 AS {str})) AS tenant
   FROM comps

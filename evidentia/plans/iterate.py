@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a temporary folder where none is named, on one machine) and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where none is named, on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="evidentia-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/round-{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/round-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import header_key
 
-_order = Window.partitionBy("table_id").orderBy("row")
-_so_far = _order.rowsBetween(Window.unboundedPreceding, 0)
+
+def _order():
+    return Window.partitionBy("table_id").orderBy("row")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def filled(cells: Column) -> Column:
@@ -48,11 +53,11 @@ def split_tables(grid: DataFrame, keywords: list[str]) -> DataFrame:
     c = F.col("cells")
     is_header = (text_cells(c) >= 3) & (digit_cells(c) <= 3) & (keyword_hits(c, keywords) >= 2) & (keyword_hits(c, keywords) >= 0.4 * filled(c))
     marked = grid.withColumn("is_header", is_header).where(filled(c) > 1)
-    return marked.withColumn("block", F.sum(F.when(F.col("is_header"), 1).otherwise(0)).over(_so_far))
+    return marked.withColumn("block", F.sum(F.when(F.col("is_header"), 1).otherwise(0)).over(_so_far()))
 
 
 def fill_down(grid: DataFrame, column: str) -> DataFrame:
-    return grid.withColumn(column, F.last(F.when(F.trim(column) != "", F.col(column)), ignorenulls=True).over(_so_far))
+    return grid.withColumn(column, F.last(F.when(F.trim(column) != "", F.col(column)), ignorenulls=True).over(_so_far()))
 
 
 def split_collapsed(left: Column, right: Column) -> tuple[Column, Column]:
@@ -64,14 +69,14 @@ def split_collapsed(left: Column, right: Column) -> tuple[Column, Column]:
 
 def stitch_wrapped(rows: DataFrame, name: str, anchor: str) -> DataFrame:
     """Rows without the anchor value continue the row before them: names are joined, one row for each anchor."""
-    g = rows.withColumn("_g", F.sum(F.when(F.col(anchor).isNotNull(), 1).otherwise(0)).over(_so_far))
+    g = rows.withColumn("_g", F.sum(F.when(F.col(anchor).isNotNull(), 1).otherwise(0)).over(_so_far()))
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", name))), lambda p: p[name]), " ")
     return g.groupBy("table_id", "_g").agg(F.min("row").alias("row"), parts.alias(name), F.max(anchor).alias(anchor)).drop("_g")
 
 
 def strip_enumeration(rows: DataFrame, name: str) -> DataFrame:
     """Leading numbers equal to the row's place go, in tables where at least half of the rows (and two) are so numbered."""
-    place = F.row_number().over(_order)
+    place = F.row_number().over(_order())
     own = F.regexp_extract(name, r"^(\d+)[.)]?\s", 1).try_cast("int") == place
     every = Window.partitionBy("table_id")
     hit = F.coalesce(own, F.lit(False))

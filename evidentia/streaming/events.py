@@ -23,7 +23,8 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # watermarks need an instant; results go back to the table's local timestamps
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, as a plain path to a single file is no valid stream source
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:

@@ -147,7 +147,7 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFr
             found = part[np.array(keep, bool)]
             yield pd.DataFrame({"u": found["a"], "v": found["b"]})
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "u long, v long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(run, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -157,8 +157,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     classes = scratch.stage(named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")), "classes")
     pairs = scratch.stage(candidates(classes.select("doc_id", "signature").distinct()), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    of_class = named.join(classes.select("fingerprint", F.col("doc_id").alias("first_doc")), "fingerprint").where("doc_id = first_doc")
-    bodies = of_class.select("doc_id", "body").join(involved, "doc_id", "left_semi")
+    # texts move once, and only those of candidates move again; they are never broadcast, so that every size has one plan
+    wanted = classes.select("fingerprint", "doc_id").join(involved, "doc_id", "left_semi").hint("merge")
+    bodies = named.select("doc_id", "fingerprint", "body").join(wanted, ["doc_id", "fingerprint"], "left_semi")
     bodies = scratch.stage(bodies.groupBy("doc_id").agg(F.max("body").alias("body")), "bodies")
 
     both = pairs.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("end"))

@@ -41,16 +41,17 @@ def prose_lines(body: Column, least: int = 80) -> Column:
     return F.when(F.length(out) >= least, out).otherwise("")
 
 
-def best_by_similarity(claims: DataFrame, vectors: DataFrame, least: float = 0.20, blocks: int = 16, block_rows: int = 64) -> DataFrame:
+def best_by_similarity(claims: DataFrame, vectors: DataFrame, least: float = 0.20, block_rows: int = 64) -> DataFrame:
     """claim_id, vec_id, score: the most similar vector of each claim, if similar enough; ties to the smaller vec_id.
 
     Claims are packed into blocks that meet slices of the vectors over an
     equi-join on a slice number: neither side is broadcast, and a claim's
     candidates are reduced to one row in each task before they are exchanged."""
     n = max(1, -(-claims.count() // block_rows))
+    slices = max(16, 2 * claims.sparkSession.sparkContext.defaultParallelism)
     packed = claims.groupBy(F.pmod(F.xxhash64("claim_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("claim_id", "embedding")).alias("claims"))
-    packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sliced = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("slice"))
+    packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
     pairs = sliced.join(packed, "slice").select("vec_id", "embedding", F.explode("claims").alias("c"))
     scored = pairs.where("c.claim_id <> vec_id").select("c.claim_id", "vec_id", text.cosine(F.col("embedding"), F.col("c.embedding")).alias("score"))
     best = scored.groupBy("claim_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("neg"))).alias("m"))

@@ -58,9 +58,21 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def hashes(word: str) -> tuple[int, ...]:
-    raw = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return (raw % BUCKETS, *(zlib.crc32(b"%d" % k + word[:k].encode("utf-8", "surrogatepass")) % BUCKETS for k in (3, 4, 5)))
+_beginnings: dict[int, dict[str, int]] = {3: {}, 4: {}, 5: {}}
+
+
+def _beginning(word: str, k: int) -> int:
+    """Hash of the first k characters; words share few, so they are remembered."""
+    known, start = _beginnings[k], word[:k]
+    if start not in known:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        known[start] = zlib.crc32(b"%d" % k + start.encode("utf-8", "surrogatepass")) % BUCKETS
+    return known[start]
+
+
+def hashes(word: str) -> tuple[int, int, int, int]:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, _beginning(word, 3), _beginning(word, 4), _beginning(word, 5)
 
 
 @dataclass
@@ -136,7 +148,7 @@ class Scorer:
         full = np.flatnonzero(sizes)
         if not len(full):
             return
-        idx = np.fromiter((known[w] for t in group for w in t), np.int64, int(sizes.sum()))
+        idx = np.array([known[w] for t in group for w in t], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
         left = np.repeat(starts + sizes[full], sizes[full]) - np.arange(len(idx))  # words from here to the text's end
         table = self.rows[idx]

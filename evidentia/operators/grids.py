@@ -92,3 +92,30 @@ def map_columns(headers: DataFrame, synonyms: dict[str, tuple[str, ...]]) -> Dat
     hits = headers.withColumn("key", header_key(F.col("header"))).join(F.broadcast(dim), F.col("key") == F.col("synonym"))  # a fixed list
     by_field = hits.withColumn("n", F.row_number().over(Window.partitionBy("table_id", "column").orderBy("ord"))).where("n = 1")
     return by_field.groupBy("table_id", "field").agg(F.min("column").alias("column"))
+
+
+def scan(grid: DataFrame, synonyms: dict[str, tuple[str, ...]], keywords: list[str]) -> DataFrame:
+    """Records of a sheet: stacked tables are split, each block's header is mapped to fields, and rows become one column a field (strings, null where a block has no such column)."""
+    blocks = split_tables(grid, keywords).where("block > 0")
+    heads = blocks.where("is_header").select(F.struct("table_id", "block").alias("table_id"), F.posexplode("cells").alias("column", "header"))
+    mapped = map_columns(heads, synonyms)
+    at = mapped.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("at")).select("table_id.table_id", "table_id.block", "at")  # one entry a field
+    rows = blocks.where("NOT is_header").join(at, ["table_id", "block"])
+    return rows.select("table_id", "block", "row", *[F.nullif(F.trim(F.get("cells", F.element_at("at", f))), F.lit("")).alias(f) for f in synonyms])
+
+
+def sale_rows(records: DataFrame) -> DataFrame:
+    """Scanned rows as sale records: prices and areas read, rows without name or price and totals left out."""
+    from evidentia.functions.num import magnitude_guard, parse_num
+    from evidentia.operators.evidence import TOTALS
+
+    price = magnitude_guard(parse_num(F.col("price_sgd_m")))
+    out = records.select("table_id", "block", "row", "property_name", "sale_date", price.alias("price_m"), parse_num(F.col("gfa_sf")).alias("gfa_sf"))
+    return out.where(F.col("property_name").isNotNull() & (F.coalesce("price_m", F.lit(0.0)) != 0) & ~F.col("property_name").rlike(TOTALS))
+
+
+def lease_rows(records: DataFrame) -> DataFrame:
+    """Scanned rows as leases: an area is needed, a rent is not."""
+    from evidentia.functions.num import parse_num
+
+    return records.select("table_id", "row", "property_name", parse_num(F.col("gfa_sf")).alias("nla_sf"), parse_num(F.col("price_sgd_m")).alias("asking_rent")).where(F.coalesce("nla_sf", F.lit(0.0)) != 0)

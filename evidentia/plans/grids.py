@@ -139,3 +139,20 @@ def lease_text(spark, sf):
 
     text = " ".join(f"{n} {n}.0" for n in range(1, 100)) + " 100 99.5"
     return parse_lease_table(spark.createDataFrame([(text,)], "text string"))
+
+
+_BLOCKS = f"b AS (SELECT *, CAST(sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY row) AS BIGINT) AS block FROM grid WHERE {_FILLED} > 1)"
+
+
+@query(
+    "q_src1_src3_sheet_scan",
+    f"""WITH {GRID_SQL}, {_BLOCKS} SELECT table_id, block, row, cells[1] AS property_name, cells[2] AS sale_date, CAST(cells[3] AS DOUBLE) AS price_m, CAST(cells[4] AS DOUBLE) AS gfa_sf
+FROM b WHERE block > 0 AND NOT {_HEAD} AND trim(cells[1]) <> '' AND CASE WHEN {_HEAD} THEN 0 ELSE CAST(cells[3] AS DOUBLE) END <> 0""",
+)
+def sheet_scan(spark, sf):
+    return grids.sale_rows(grids.scan(grid(spark, sf), SYNONYMS, KEYWORDS))
+
+
+@query("q_src2_lease_scan", f"WITH {GRID_SQL}, {_BLOCKS} SELECT table_id, row, nullif(trim(cells[1]), '') AS property_name, CAST(cells[4] AS DOUBLE) AS nla_sf, CAST(cells[3] AS DOUBLE) AS asking_rent FROM b WHERE block > 0 AND NOT {_HEAD}")
+def lease_scan(spark, sf):
+    return grids.lease_rows(grids.scan(grid(spark, sf), SYNONYMS, KEYWORDS))

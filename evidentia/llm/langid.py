@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm import scratch
+
 BITS = 17
 BUCKETS = 1 << BITS
 PER_LANGUAGE = 1500
@@ -146,7 +148,11 @@ def fit(n: int, df: np.ndarray, rows: pd.DataFrame, epochs: int = EPOCHS) -> Lan
     languages = sorted(rows["lang"].unique())
     k = len(languages)
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, k)), np.zeros(k))
-    data = [(*model.features(found), languages.index(lang)) for text, lang in zip(rows["text"], rows["lang"], strict=True) if (found := grams(text)) is not None]
+    data = []
+    for text, lang in zip(rows["text"], rows["lang"], strict=True):
+        if (found := grams(text)) is not None:
+            at, x = model.features(found)
+            data.append((at.astype(np.int32), x.astype(np.float32), languages.index(lang)))
     if k < 2 or not data:
         return model if data else LanguageModel([], idf, model.weights, model.bias)
     train, rest = [d for i, d in enumerate(data) if i % 5], data[::5]
@@ -184,7 +190,9 @@ def fit(n: int, df: np.ndarray, rows: pd.DataFrame, epochs: int = EPOCHS) -> Lan
 def train(documents: DataFrame) -> LanguageModel:
     """Learn from the texts and the non-null languages of ``documents``."""
     labelled = documents.where("lang IS NOT NULL").select("doc_id", "text", "lang")
-    return fit(*document_frequencies(labelled), sample(labelled))
+    model = fit(*document_frequencies(labelled), sample(labelled))
+    scratch.release()
+    return model
 
 
 def predictor(model: LanguageModel):

@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm import scratch
 from evidentia.llm.langid import fold
 
 BUCKETS = 1 << 15
@@ -42,14 +43,14 @@ FILTERS = {1: 16, 2: 8, 3: 8}
 #: Expected rows of the training sample, by label.
 SAMPLE = {1: 2500, 0: 5000}
 #: Passes over the sample: about STEPS batches in all, within these bounds.
-STEPS, EPOCHS = 800, (8, 24)
+STEPS, EPOCHS = 1200, (14, 30)
 BATCH = 64
 #: Share of a text's words that a pass of the training sees.
-SHOWN = 0.6
+SHOWN = 0.35
 RATE = 0.08
 #: Words whose contributions are kept, and words worked on at once.
 CACHE_WORDS = 150_000
-STEP_WORDS = 250_000
+STEP_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -210,8 +211,9 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
         model.constant = float(y[0]) if len(y) else 0.0
         return model
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int64) for t in rows["text"]]
-    ids = np.array([hashes(w) for w in index], np.int64).reshape(-1, 4)
+    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in rows["text"]]
+    ids = np.fromiter((h for w in index for h in hashes(w)), np.int32, 4 * len(index)).reshape(-1, 4)
+    del index
     part = np.arange(len(y)) % 5 == 0
     model.languages, model.by_word = _train_languages(docs, ids, [x if isinstance(x, str) else None for x in rows["lang"]])
 
@@ -282,14 +284,18 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
                 g_emb[rows_at] += ge * ge
                 emb[rows_at] -= RATE * ge / np.sqrt(g_emb[rows_at])
 
-    scorer = Scorer(model)
-    logit, lang = scorer.logits([words(t) for t in rows["text"][part]])
+    del docs, ids
+    scorer, kept = Scorer(model), list(rows["text"][part])
+    found = [scorer.logits([words(t) for t in kept[i : i + 64]]) for i in range(0, len(kept), 64)]
+    logit, lang = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
     truth = y[part]
     model.thresholds[""] = threshold(logit, truth)
     for i, name in enumerate(model.languages):
         own = lang == i
         if truth[own].sum() >= 3 and (1 - truth[own]).sum() >= 5:
             model.thresholds[name] = threshold(logit[own], truth[own])
+    del scorer, found
+    scratch.release()
     return model
 
 

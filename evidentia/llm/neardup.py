@@ -190,7 +190,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, of a doc_id's rows the one with the least text; null doc_ids stay."""
     kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
     kept = scratch.stage(kept, "kept")
-    stay = documents.join(kept, F.col("doc_id") == F.col("kept_id"))
+    stay = documents.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"))  # one plan at every size
     once = stay.where("rows = 1")
     several = stay.where("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())))
     names = [documents[c] for c in documents.columns]

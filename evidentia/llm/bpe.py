@@ -36,6 +36,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm import scratch
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK = 16384
 OVERLAP = 1024
@@ -123,6 +125,7 @@ def encode_long(long_texts: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: a row per row of ``long_texts``."""
     schema = "doc_id long, key string, k int, last int, chunk string, copies long"
     cut = _chunks(long_texts.select(F.col("doc_id").cast("long"), "text")).mapInPandas(_pretokenise(path), f"{schema}, heads array<int>, tails array<int>")
+    cut = scratch.stage(cut, "chunks")  # three readers follow
     before = cut.select(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key"), (F.col("k") + 1).alias("b_k"), "tails").withColumnRenamed("tails", "b_tails")
     seams = (
         cut.select("doc_id", "key", "k", "heads")

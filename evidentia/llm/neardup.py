@@ -11,14 +11,23 @@ is larger than ``REGION`` (adaptive depth); inside a region a document is a
 candidate for its ``NEAR`` predecessors in the order and for the region's first
 document, and the first document of a deeper region for the first one of the
 region above. So the number of candidates is linear in the documents, however
-large a group of copies is, and a group hangs together through its neighbours in
-many orders.
+large a group of copies is, and most of a group hangs together through its
+neighbours in many orders.
 
 Candidates are confirmed on full sets, made anew from the texts: for every
 document first the partner that most trees propose, then all candidates whose
 ends are not connected by then. A pair left out is inside one component already,
 so no class changes by it.
 
+The forest alone loses groups that hang together through one document only (an
+original whose copies are unlike each other). So what it leaves is met in full:
+``BANDS`` bands of ``DEPTHS[0]`` components put the documents into buckets, and
+all pairs of a bucket that are in different components are candidates, unless
+their sizes or signatures rule them out (``least_agreeing``). As long as it pays,
+a document first meets the one with most links of those, so that an original
+takes in its copies in one round; the last round always meets all that is left.
+Buckets are dealt out in tiles of ``BLOCK`` by ``BLOCK`` documents, none is cut.
+
 Defined cases: null and empty texts, and those without words, have the empty
 set and are linked with nothing; rows of one doc_id are one node; a null doc_id
 is linked with nothing and kept; equal rows are linked; an empty table gives an
@@ -27,6 +36,7 @@ empty result; further columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +57,8 @@ KEY = 16
 REGION = 2048
 NEAR = 3
 SALTS = 64
+BANDS = COMPONENTS // DEPTHS[0]
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,17 +162,103 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(run, "u long, v long")
 
 
+def least_agreeing(percent: int) -> int:
+    """Components in which two signatures agree at least, but for one pair in 10^9 at the threshold."""
+    p, below = percent / 100, 0.0
+    for m in range(COMPONENTS):
+        below += math.comb(COMPONENTS, m) * p**m * (1 - p) ** (COMPONENTS - m)
+        if below > 1e-9:
+            return m
+    return COMPONENTS
+
+
+def unmet(nodes: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """a, b (a > b): the pairs of each bucket whose ends are in different components; with ``hubs`` for each document only the one with most links.
+
+    ``nodes`` (doc_id, n_shingles, signature, component, degree) is a staged table."""
+    width = 2 * DEPTHS[0]
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width))
+    keys = nodes.select("doc_id", "component", F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"))
+    mixed = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = keys.select("doc_id", "bucket").join(mixed.hint("merge"), "bucket").join(nodes.hint("merge"), "doc_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "component", "degree", "signature")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    least = least_agreeing(percent)
+
+    def meet(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        tile = part[["bucket", "i", "j"]].to_numpy()
+        group = np.concatenate(([0], (tile[1:] != tile[:-1]).any(axis=1).cumsum()))
+        across = tile[:, 1] != tile[:, 2]
+        block, doc, size, component, degree = (part[c].to_numpy() for c in ("block", "doc_id", "n_shingles", "component", "degree"))
+        sig = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), COMPONENTS)
+        best, partner = np.full(len(part), -1, np.int64), np.zeros(len(part), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held, x, d = 0, np.arange(len(part)), 0
+        while len(x):
+            d += 1
+            x = x[x + d < len(part)]
+            x = x[group[x] == group[x + d]]  # pairs at distance d in the order
+            y = x + d
+            near = (component[x] != component[y]) & ~(across[x] & (block[x] == block[y]))
+            near &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            u, v = x[near], y[near]
+            near = (sig[u] == sig[v]).sum(axis=1) >= least
+            u, v = u[near], v[near]
+            if not hubs:
+                found.append((doc[u], doc[v]))
+                held += len(u)
+                if held > 200_000:
+                    yield pairs(found)
+                    found, held = [], 0
+                continue
+            for one, two in ((u, v), (v, u)):
+                better = (degree[two] > best[one]) | ((degree[two] == best[one]) & (doc[two] < partner[one]))
+                one, two = one[better], two[better]
+                best[one], partner[one] = degree[two], doc[two]
+        if hubs:
+            has = best >= 0
+            yield pd.DataFrame({"u": doc[has], "v": partner[has], "degree": best[has]})
+        elif held:
+            yield pairs(found)
+
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({"u": np.concatenate([a for a, _ in found]), "v": np.concatenate([b for _, b in found]), "degree": 0}).drop_duplicates()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for part in parts:  # the last tile of a batch may go on in the next one
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            last = part.iloc[-1] if len(part) else None
+            ends = len(part) if last is None else int((~((part["bucket"] == last["bucket"]) & (part["i"] == last["i"]) & (part["j"] == last["j"]))).sum())
+            rest = part.iloc[ends:]
+            if ends:
+                yield from meet(part.iloc[:ends])
+        if rest is not None and len(rest):
+            yield from meet(rest)
+
+    found = rows.mapInPandas(run, "u long, v long, degree long")
+    if hubs:
+        found = found.groupBy("u").agg(F.max(F.struct("degree", (-F.col("v")).alias("v"))).alias("m")).select("u", (-F.col("m.v")).alias("v"))
+    return found.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document."""
     base = scratch.stage(sketches(documents, k), "sketches")
     named = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.stage(named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")), "classes")
+    classes = scratch.stage(named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")), "classes")
     pairs = scratch.stage(candidates(classes.select("doc_id", "signature").distinct()), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # texts move once, and only those of candidates move again; they are never broadcast, so that every size has one plan
-    wanted = classes.select("fingerprint", "doc_id").join(involved, "doc_id", "left_semi").hint("merge")
-    bodies = named.select("doc_id", "fingerprint", "body").join(wanted, ["doc_id", "fingerprint"], "left_semi")
-    bodies = scratch.stage(bodies.groupBy("doc_id").agg(F.max("body").alias("body")), "bodies")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        # texts move once, and only those of candidates move again; they are never broadcast, so that every size has one plan
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = classes.select("fingerprint", "doc_id").join(involved, "doc_id", "left_semi").hint("merge")
+        bodies = named.select("doc_id", "fingerprint", "body").join(wanted, ["doc_id", "fingerprint"], "left_semi")
+        return scratch.stage(bodies.groupBy("doc_id").agg(F.max("body").alias("body")), "bodies")
+
+    bodies = texts(pairs)
 
     both = pairs.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("end"))
     best = both.groupBy("end").agg(F.max(F.struct("votes", F.greatest(-F.col("a"), -F.col("b")), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -177,7 +275,23 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     ties = named.select("doc_id", "fingerprint").distinct().join(same, "fingerprint").where("doc_id <> first_doc")
     odd = named.select("doc_id", "fingerprint").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     ties = ties.join(odd, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("first_doc").alias("v"))
-    whole = connected(first.unionByName(second).unionByName(ties))
+    links = scratch.stage(first.unionByName(second).unionByName(ties), "links")
+    hubs = True
+    while True:
+        whole = scratch.stage(connected(links), "parts")
+        degree = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+        nodes = classes.select("doc_id", "n_shingles", "signature").join(whole.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").join(degree.hint("merge"), "doc_id", "left")
+        nodes = scratch.stage(nodes.withColumn("component", F.coalesce("component", "doc_id")).withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))), "nodes")
+        left = scratch.stage(unmet(nodes, percent, hubs), "pairs")
+        asked = left.count()
+        if not asked:
+            break
+        more = scratch.stage(confirm(left, texts(left), k, percent), "links")
+        links = links.unionByName(more)
+        if not hubs:
+            whole = connected(links)
+            break
+        hubs = 2 * more.count() > asked  # few links: meet all that is left at once
     of = scratch.stage(
         same.join(whole, F.col("first_doc") == F.col("node"), "left").select(F.col("fingerprint").alias("of_print"), F.coalesce("component", "first_doc").alias("component")), "components"
     )

@@ -224,6 +224,22 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, region):
     assert got == want
 
 
+def test_near_duplicates_through_one_original(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)  # buckets are dealt out in several tiles
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(602)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, 221):  # copies of one original, edited apart: 0.88 like it, 0.78 like each other
+        words = list(base)
+        for i in rng.sample(range(602), 13):
+            words[i] = f"e{c}-{i}"
+        rows.append((c, " ".join(words)))
+    want = brute(rows, 3, 85)
+    assert sum(component == 0 for _, component in want.values()) > 200
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(2, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (None, "q", None, None), (3, None, None, None)]
     assert sorted((r.doc_id or 0, r.text or "") for r in neardup.keep_one(docs(spark, rows)).collect()) == [(0, "q"), (1, "a b c d e f"), (3, "")]

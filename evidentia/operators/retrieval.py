@@ -65,15 +65,27 @@ def within_budget(chunks: DataFrame, by: list[str], order: list[Column], size: s
 
 
 def contained_claims(claims: DataFrame, documents: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, doc_id: documents that hold a claim's text verbatim. Candidates share the claim's first shingle of words, found by an equi-join on its hash."""
+    """item_id, doc_id: documents that hold a claim's text verbatim.
+
+    Candidates share the claim's first inner words, those that stand between others: ``words`` - 1 of them, or all that
+    a shorter claim has, found by an equi-join on their number and hash. Claims without inner words (two words and
+    fewer) may lie inside a word, so they are packed into blocks that every document is scanned against."""
     toks = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    heads = claims.select("item_id", F.col("text").alias("claim"), toks(F.col("text")).alias("w")).where(F.size("w") > words)
-    # the second word on: the first may be joined to what stands before it
-    heads = heads.select("item_id", "claim", F.xxhash64(F.array_join(F.slice("w", 2, words - 1), " ")).alias("h"))
-    d = documents.select("doc_id", "text", toks(F.col("text")).alias("w")).where(F.size("w") >= words - 1)
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 2)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words - 1), " "))))).alias("h"))
-    pairs = grams.join(heads, "h").select("item_id", "claim", "doc_id").distinct()
-    return pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("claim"))).select("item_id", "doc_id")
+    # the second word on: the first may be joined to what stands before it, the last to what comes after
+    inner = F.least(F.size("w") - 2, F.lit(words - 1))
+    heads = claims.select("item_id", F.col("text").alias("claim"), toks(F.col("text")).alias("w")).where("text IS NOT NULL").withColumn("n", inner)
+    long = heads.where("n > 0").select("item_id", "claim", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("h"))
+    lengths = long.select("n").distinct()  # at most words - 1 rows
+    d = documents.select("doc_id", toks(F.col("text")).alias("w")).where("text IS NOT NULL").join(F.broadcast(lengths), F.size("w") >= F.col("n"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " ")))
+    grams = d.select("doc_id", "n", F.explode(F.array_distinct(grams)).alias("h"))
+    pairs = grams.join(long, ["n", "h"]).select("item_id", "claim", "doc_id").distinct()
+    held = pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("claim"))).select("item_id", "doc_id")
+
+    short = heads.where("n <= 0").groupBy(F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("block"), F.pmod(F.xxhash64("claim"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("item_id", "claim")).alias("claims"))
+    scanned = documents.where("text IS NOT NULL").select("doc_id", "text").crossJoin(short)
+    scanned = scanned.select("doc_id", F.explode(F.filter("claims", lambda c: F.col("text").contains(c["claim"]))).alias("c")).select("c.item_id", "doc_id")
+    return held.unionByName(scanned)
 
 
 def citation_status(overlap: Column) -> Column:

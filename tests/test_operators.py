@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.operators import evidence as ev
-from evidentia.operators import grids, refine, report
+from evidentia.operators import grids, refine, report, retrieval
 
 
 def leaders_by_hand(edges):
@@ -72,3 +72,11 @@ def test_filters_are_monotone(spark):
     df = spark.createDataFrame([(i, str(i % 7), float(i)) for i in range(50)], "pos long, c string, v double")
     kept = report.ladder(df.withColumn("tier", (F.col("pos") % 3).cast("int")), 5, "c")
     assert kept.count() <= 50 and kept.join(df, "pos", "left_anti").count() == 0
+
+
+def test_short_claims_are_found(spark):
+    docs = [(1, "xone two three four five six seven eight nine"), (2, "one  two three"), (3, "net 3.5% of it"), (4, None), (5, "a b c d e f g h i j k")]
+    claims = [(1, "two three four"), (2, "one two"), (3, "3.5%"), (4, "ne two three four five six seven eight ni"), (5, "d e f g h"), (6, "z"), (7, None), (8, "e  f g"), (9, " d "), (10, "one two three four five six seven eight")]
+    want = sorted((i, d) for i, c in claims for d, t in docs if c is not None and t is not None and c in t)
+    frames = spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, retrieval.contained_claims(*frames).collect())) == want

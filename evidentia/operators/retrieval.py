@@ -104,9 +104,9 @@ def keyword_scores(body: Column, markers: dict = MARKERS) -> Column:
 
 
 def present_types(scores: Column, least: int = 5) -> Column:
-    """Types with a score, strongest first."""
-    entries = F.filter(F.map_entries(scores), lambda e: e["value"] >= least)
-    return F.transform(F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))), lambda e: e["k"])
+    """Types with a score, strongest first; equal ones in the order of the markers."""
+    entries = F.transform(F.map_entries(scores), lambda e, i: F.struct((-e["value"]).alias("s"), i.alias("i"), e["key"].alias("k")))
+    return F.transform(F.array_sort(F.filter(entries, lambda e: e["s"] <= -least)), lambda e: e["k"])
 
 
 def links(pages: DataFrame, hint: str = ".", least_title: int = 2, cap: int = 40) -> DataFrame:

@@ -222,6 +222,12 @@ def clean(spark, sf):
     return d.select("doc_id", ex.clean_body(body).alias("b")).select("doc_id", F.expr("trim(BOTH '\\n ' FROM b)").alias("text"))
 
 
+@query("q_txt18_clean_body_all")
+def clean_all(spark, sf):
+    """The texts of all documents as they are, labels and headings too."""
+    return _docs(spark, sf).select("doc_id", ex.clean_body(F.col("text")).alias("text"))
+
+
 @query("q_txt23_txt27_prompts", "SELECT conv_id, string_agg('[' || role || '] ' || text[1:40], chr(10) ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY conv_id")
 def prompts(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")

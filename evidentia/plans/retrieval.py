@@ -44,6 +44,13 @@ def sentence_counts(spark, sf):
     return docs.select("doc_id", F.size(s).cast("long").alias("n"), F.array_max(F.transform(s, lambda x: F.length(x).cast("long"))).alias("longest"))
 
 
+@query("q_txt4_sentences_all")
+def sentence_counts_all(spark, sf):
+    """All documents, those with adjoining split points and null texts too, where the SQL's one-pass replacement differs."""
+    s = text.sentences(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.when(F.col("text").isNotNull(), F.size(s).cast("long")).alias("n"), F.array_max(F.transform(s, lambda x: F.length(x).cast("long"))).alias("longest"))
+
+
 @query(
     "q_txt5_keyword_overlap",
     """WITH c AS (SELECT doc_id, text, ['thing', 'that', 'with', 'ations'] AS w FROM documents),
@@ -134,6 +141,14 @@ def keywords(spark, sf):
     return rows.select("doc_id", F.col("s")["legal"].alias("legal"), F.col("s")["prose"].alias("prose"), F.array_join(rt.present_types(F.col("s"), 4), ",").alias("types")).where("legal <> prose")
 
 
+@query("q_agg12_flt15_keyword_scores_all")
+def keywords_all(spark, sf):
+    """All documents, those with equal scores too."""
+    s = rt.keyword_scores(F.col("text"), {"legal": (("licensed",), ("version", "the")), "prose": (("is",), ("of", "der"))})
+    rows = _docs(spark, sf).select("doc_id", s.alias("s"))
+    return rows.select("doc_id", F.col("s")["legal"].alias("legal"), F.col("s")["prose"].alias("prose"), F.array_join(rt.present_types(F.col("s"), 4), ",").alias("types"))
+
+
 @query("q_flt16_report_like", "SELECT doc_id, (contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT + contains(lower(text), 'public')::INT) >= 2 AS report_like FROM documents")
 def report_like(spark, sf):
     t = F.lower("text")

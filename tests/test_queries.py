@@ -16,3 +16,36 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).columns
+
+
+def test_whole_tables_against_plain_python(spark, tmp_path):
+    import re
+
+    texts = ["Licensed version of it.", "Version the is of der", "Up. A. B c", "**Demand:** grew\nx\n**Supply:** fell\n# Sources\n1. y", "# Title\nz **b**", "", None, "the licensed der is of"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r.doc_id: tuple(r)[1:] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+
+    def scores(t):
+        t = (t or "").lower()
+        legal, prose = 3 * ("licensed" in t) + ("version" in t) + ("the" in t), 3 * ("is" in t) + ("of" in t) + ("der" in t)
+        found = sorted([(n, k) for n, k in ((legal, "legal"), (prose, "prose")) if n >= 4], key=lambda x: -x[0])
+        return legal, prose, ",".join(k for _, k in found)
+
+    def split(t):
+        s = t and [x.strip(" ") for x in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", t.strip(" ")) if x.strip(" ")]
+        return (None, None) if t is None else (len(s), max(map(len, s), default=None))
+
+    def body(t):
+        return t and re.sub(r"(?m)^\*\*[^*\n]{1,40}:\*\*\s*", "", re.sub(r"(?is)\n#+\s*(audit|sources).*\Z", "", t)).strip(" ")
+
+    for name, by_hand in (("q_agg12_flt15_keyword_scores_all", scores), ("q_txt4_sentences_all", split), ("q_txt18_clean_body_all", lambda t: (body(t),))):
+        assert run(name) == {i: by_hand(t) for i, t in enumerate(texts)}, name
+
+
+def test_equal_scores_keep_the_order_of_markers(spark):
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import retrieval as rt
+
+    row = spark.range(1).select(rt.present_types(rt.keyword_scores(F.lit("sale price, cap rate; asking rent, lease term; plot ratio, tender"))).alias("t")).first()
+    assert row.t == ["sales", "rent", "land"]

@@ -17,6 +17,18 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(a))
 
 
+def cell(lon: Column, lat: Column, km: float) -> Column:
+    """The place's cube (x, y, z) of a grid through the globe. Places within km of each other are in the same or in adjoining cubes, at every latitude and across the 180th meridian."""
+    size = max(km, 0.1) * 1.001 / EARTH_KM  # a chord is no longer than its arc
+    x, y = F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon))
+    return F.struct(F.floor(x / size).alias("x"), F.floor(y / size).alias("y"), F.floor(F.sin(F.radians(lat)) / size).alias("z"))
+
+
+def around(own: Column) -> Column:
+    """Array of a cube and its 26 neighbours."""
+    return F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((own["x"] + F.floor(i / 9) - 1).alias("x"), (own["y"] + F.floor(i / 3) % 3 - 1).alias("y"), (own["z"] + i % 3 - 1).alias("z")))
+
+
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Mean of a ring's vertices (struct x, y)."""
     mean = lambda axis: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(ring)

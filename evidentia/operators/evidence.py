@@ -63,21 +63,13 @@ def positive_averages(records: DataFrame, fields: list[str], by: list[str] = ())
     return records.groupBy(*by).agg(*[F.avg(F.when(F.col(f) > 0, F.col(f))).alias(f"avg_{f}") for f in fields])
 
 
-CELL_DEGREES = 0.001
-
-
 def near_pairs(records: DataFrame, km: float, keys: list[Column] = ()) -> DataFrame:
-    """a.* , b.* pairs with a.pos < b.pos within km: an equi-join on grid cells, one side on all nine neighbours.
-
-    Cells are wide enough for ``km`` within 60 degrees of the equator."""
-    size = max(CELL_DEGREES, km / 110.0 * 2)
-    cell = lambda c: F.floor(F.col(c) / size)
-    placed = records.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_x", cell("lon")).withColumn("_y", cell("lat"))
-    around = F.array(*[F.struct((F.col("_x") + i).alias("x"), (F.col("_y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    """a.* , b.* pairs with a.pos < b.pos within km: an equi-join on cells of the globe (``geo.cell``), one side on all 27 neighbours."""
+    placed = records.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_c", geo.cell(F.col("lon"), F.col("lat"), km))
     a = placed.alias("a")
-    b = placed.withColumn("_n", F.explode(around)).alias("b")
+    b = placed.withColumn("_n", F.explode(geo.around(F.col("_c")))).alias("b")
     near = geo.haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= km
-    return a.join(b, (F.col("a._x") == F.col("b._n.x")) & (F.col("a._y") == F.col("b._n.y")) & (F.col("a.pos") < F.col("b.pos")) & near)
+    return a.join(b, (F.col("a._c") == F.col("b._n")) & (F.col("a.pos") < F.col("b.pos")) & near)
 
 
 def conflict_flags(records: DataFrame, km: float = 0.1, tolerance: float = 0.03, overlap: float = 0.9) -> DataFrame:
@@ -92,14 +84,12 @@ def conflict_flags(records: DataFrame, km: float = 0.1, tolerance: float = 0.03,
 
 def same_building(records: DataFrame, probes: DataFrame, km: float = 0.075, tolerance: float = 0.05) -> DataFrame:
     """For every probe the first record (by pos) at its place and price."""
-    size = km / 110.0 * 2
-    cell = lambda c: F.floor(F.col(c) / size)
-    r = records.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").select("pos", "lon", "lat", "price_m").withColumn("_x", cell("lon")).withColumn("_y", cell("lat")).alias("r")
-    around = F.array(*[F.struct((F.col("_x") + i).alias("x"), (F.col("_y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = probes.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").select("pos", "lon", "lat", "price_m").withColumn("_x", cell("lon")).withColumn("_y", cell("lat")).withColumn("_n", F.explode(around)).alias("p")
+    own = geo.cell(F.col("lon"), F.col("lat"), km)
+    r = records.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").select("pos", "lon", "lat", "price_m").withColumn("_c", own).alias("r")
+    p = probes.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").select("pos", "lon", "lat", "price_m").withColumn("_n", F.explode(geo.around(own))).alias("p")
     near = geo.haversine_km(F.col("r.lon"), F.col("r.lat"), F.col("p.lon"), F.col("p.lat")) <= km
     money = F.abs(F.col("r.price_m") - F.col("p.price_m")) <= tolerance * F.greatest("r.price_m", "p.price_m")
-    joined = p.join(r, (F.col("r._x") == F.col("p._n.x")) & (F.col("r._y") == F.col("p._n.y")) & near & money & (F.col("r.pos") < F.col("p.pos")))
+    joined = p.join(r, (F.col("r._c") == F.col("p._n")) & near & money & (F.col("r.pos") < F.col("p.pos")))
     return joined.groupBy(F.col("p.pos").alias("pos")).agg(F.min("r.pos").alias("same_as"))
 
 

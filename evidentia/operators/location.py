@@ -30,13 +30,10 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(places: DataFrame, parcels_: DataFrame, km: float) -> DataFrame:
     """places joined to the parcels within km, by grid cells (see ``evidence.near_pairs``)."""
-    size = km / 110.0 * 2
-    cell = lambda c: F.floor(F.col(c) / size)
-    p = parcels_.select(*[F.col(c).alias(f"p_{c}") for c in parcels_.columns]).withColumn("_px", cell("p_lon")).withColumn("_py", cell("p_lat"))
-    around = F.array(*[F.struct((cell("lon") + i).alias("x"), (cell("lat") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    c = places.withColumn("_n", F.explode(around))
-    on = (F.col("_n.x") == F.col("_px")) & (F.col("_n.y") == F.col("_py")) & (geo.haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")) <= km)
-    return c.join(p, on).drop("_n", "_px", "_py")
+    p = parcels_.select(*[F.col(c).alias(f"p_{c}") for c in parcels_.columns]).withColumn("_pc", geo.cell(F.col("p_lon"), F.col("p_lat"), km))
+    c = places.withColumn("_n", F.explode(geo.around(geo.cell(F.col("lon"), F.col("lat"), km))))
+    on = (F.col("_n") == F.col("_pc")) & (geo.haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")) <= km)
+    return c.join(p, on).drop("_n", "_pc")
 
 
 def coverage(places: DataFrame, parcels_: DataFrame, km: float) -> DataFrame:
@@ -61,7 +58,7 @@ def nearest(places: DataFrame, parcels_: DataFrame) -> DataFrame:
         open_ = open_.join(found, ["lon", "lat"], "left_anti")
         if open_.isEmpty():
             return found
-        km = 40_000.0 if parcels_.isEmpty() else km * 4
+        km = 40_000.0 if km == 20_040 or parcels_.isEmpty() else min(km * 4, 20_040)
 
 
 def office_scores(places: DataFrame, parcels_: DataFrame, lon0: float, lat0: float) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.operators import evidence as ev
-from evidentia.operators import grids, refine, report, retrieval
+from evidentia.operators import grids, location, refine, report, retrieval
 
 
 def leaders_by_hand(edges):
@@ -80,3 +80,26 @@ def test_short_claims_are_found(spark):
     want = sorted((i, d) for i, c in claims for d, t in docs if c is not None and t is not None and c in t)
     frames = spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, retrieval.contained_claims(*frames).collect())) == want
+
+
+def test_places_near_the_poles_and_the_date_line(spark):
+    import math
+
+    def km(a, b):
+        (x, p), (y, q) = (map(math.radians, v) for v in (a, b))
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2)))
+
+    at = [(25.0, 78.0), (25.03, 78.0), (25.05, 78.001), (179.999, 10.0), (-179.999, 10.0), (-180.0, 10.003), (103.8, 1.3), (103.803, 1.3), (0.0, 89.999), (180.0, 89.999), (90.0, -90.0)]
+    places = spark.createDataFrame([(i, *p, 5.0) for i, p in enumerate(at)], "pos long, lon double, lat double, price_m double")
+    want = {(i, j) for i in range(len(at)) for j in range(i + 1, len(at)) if km(at[i], at[j]) <= 1}
+    got = {tuple(r) for r in ev.near_pairs(places, 1.0).select("a.pos", "b.pos").collect()}
+    assert got == want
+    first = {}
+    for i, j in sorted(want):
+        first.setdefault(j, i)
+    assert {r.pos: r.same_as for r in ev.same_building(places, places, 1.0).collect()} == first
+    parcels = spark.createDataFrame([(1, "park", 25.5, 78.0, 1.0), (2, "park", 25.0, 77.88, 1.0), (3, "park", -179.99, 10.0, 1.0)], "parcel long, bucket string, lon double, lat double, area_km2 double")
+    spots = [(25.0, 78.0), (179.99, 10.0)]
+    got = {(r.lon, r.lat): r.km for r in location.nearest(spark.createDataFrame(spots, "lon double, lat double"), parcels).collect()}
+    for p in spots:
+        assert abs(got[p] - min(km(p, q) for q in ((25.5, 78.0), (25.0, 77.88), (-179.99, 10.0)))) < 1e-6

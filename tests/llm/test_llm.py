@@ -280,22 +280,71 @@ def test_bpe_round_trip(spark):
     assert got == sorted(want)
 
 
+def test_bpe_of_a_very_long_text(spark):
+    import time
+
+    import public_tokenizers
+
+    c = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, 9))) for _ in range(5_000)]
+    text = " ".join(rng.choice(some) for _ in range(3_000_000))  # about 20 MB
+    start = time.time()
+    got = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - start < 120
+    ids = c._encoding.encode_ordinary(text)
+    assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 # 7 sharding
 
 
-def test_shards(spark):
-    rng = random.Random(6)
-    rows = [(i, "x" * rng.randrange(2_000), "en", "s") for i in range(3_000)] + [(10_000 + i, "copy " * 100, "en", "s") for i in range(1_500)] + [(20_000, None, None, None)]
-    got = sharding.shard(docs(spark, rows)).collect()
-    by = defaultdict(list)
+def check_shards(got, rows, tolerance):
+    """The law of near-equal bytes, gapless slots, and equal texts that stay together; returns the mean size."""
+    texts = dict(rows)
+    by, groups, sizes = defaultdict(list), defaultdict(set), defaultdict(int)
     for r in got:
         by[r.shard].append(r)
-    sizes = [sum(r.size for r in v) for v in by.values()]
-    mean = sum(sizes) / sharding.SHARDS
+        groups[texts[r.doc_id] or ""].add(r.shard)
+        sizes[texts[r.doc_id] or ""] += r.size
+    mean = sum(r.size for r in got) / sharding.SHARDS
     assert len(got) == len(rows) and len(by) == sharding.SHARDS
-    assert max(abs(s - mean) for s in sizes) <= max(2_100, sharding.WHOLE * mean) * 1.01
+    assert max(abs(sum(r.size for r in v) - mean) for v in by.values()) <= tolerance * mean
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    assert {r.doc_id: r.size for r in got}[20_000] == 16
+    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+    for text, where in groups.items():
+        if sizes[text] <= mean:
+            assert len(where) == 1
+        else:  # whole shards, and what is left of it on one more
+            assert len(where) <= sizes[text] / mean + 1
+    return mean
+
+
+def test_shards(spark):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randrange(2_000)) for i in range(3_000)] + [(10_000 + i, "copy " * 400) for i in range(1_500)] + [(20_000, None), (20_001, "")]
+    rows += [(30_000 + i, f"pair {i // 2} " + "y" * (i // 2)) for i in range(600)] + [(40_000 + i, f"twenty {i // 20} " * 20) for i in range(400)]
+    rows += [(50_000, "long " * 20_000), (50_001, "long " * 20_000)]  # over half a shard each: a group larger than a shard
+    rng.shuffle(rows)
+    check_shards(sharding.shard(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect(), rows, 0.05)
+
+
+def test_shards_of_seated_groups_only(spark):
+    rows = [(i, f"text {i // 30} " * 50) for i in range(1_800)]  # 60 groups for 40 shards: whole ones can't be even
+    got = sharding.shard(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
+    check_shards(got, rows, 0.5)
+    few = sharding.shard(docs(spark, [(1, "a", None, None), (2, "b", None, None)])).collect()
+    assert sorted((r.doc_id, r.slot) for r in few) == [(1, 0), (2, 0)]
+
+
+def test_shards_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sharding.op7_sharding(spark, SF).collect()
+    largest = max(len(t.encode()) + 16 for _, t in rows)
+    mean = check_shards(got, rows, 1.0 + largest)
+    assert sum(r.size for r in got) == pytest.approx(40 * mean)
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
 # 9 mixing

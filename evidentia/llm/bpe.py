@@ -41,6 +41,8 @@ from evidentia.llm import scratch
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK = 16384
 OVERLAP = 1024
+#: Chunks of a text that leave the cutter together.
+SLICES = 64
 MARGIN = 8
 
 
@@ -85,13 +87,21 @@ def _digest(c: Codec, ids) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
 
+def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks with their overlaps, each sliced once, ``SLICES`` at a time."""
+    for part in parts:
+        for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+            key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+            last = -(-(len(text) - OVERLAP) // CHUNK) - 1
+            for k in range(0, last + 1, SLICES):
+                ks = range(k, min(k + SLICES, last + 1))
+                chunks = [text[i * CHUNK : (i + 1) * CHUNK + OVERLAP] for i in ks]
+                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)] * len(ks), "Int64"), "key": key, "k": list(ks), "last": last, "chunk": chunks})
+
+
 def _chunks(long_texts: DataFrame) -> DataFrame:
     """A row per chunk of a distinct (doc_id, text): key, copies, k, last, chunk (with overlap)."""
-    n = F.ceil((F.length("text") - OVERLAP) / CHUNK).cast("int")
-    rows = long_texts.select("doc_id", F.sha2("text", 256).alias("key"), "text", n.alias("n"))
-    rows = rows.select("doc_id", "key", (F.col("n") - 1).alias("last"), "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    cut = F.substring(F.col("text"), F.col("k") * CHUNK + 1, F.when(F.col("k") == F.col("last"), F.length("text")).otherwise(F.lit(CHUNK + OVERLAP)))
-    rows = rows.select("doc_id", "key", "k", "last", cut.alias("chunk"))
+    rows = long_texts.select("doc_id", "text").mapInPandas(_cut, "doc_id long, key string, k int, last int, chunk string")
     return rows.groupBy("doc_id", "key", "k", "last").agg(F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
 
 

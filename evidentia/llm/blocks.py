@@ -1,10 +1,11 @@
-"""Vectors packed into blocks of rows, and the tiles of query blocks by blocks of all vectors.
+"""Vectors packed into blocks of small integers, and the tiles of query blocks by blocks of all vectors.
 
 Rows of one vec_id are one vector (the smallest). Blocks hold vectors of one
-length. A tile group (g, s) holds the query blocks of group g and the vector
-blocks of slice s; each side is repeated once for every group or slice of the
-other, so that a group is a few blocks whatever the table's size and no side
-is broadcast.
+length, in the form that ``convert`` gives them: a byte or two a component, so
+that what a tile needs of many vectors is small. A tile group (g, s) holds the
+query blocks of group g and the vector blocks of slice s; each side is repeated
+once for every group or slice of the other. A group is ``GROUP_ROWS`` queries
+whatever the table's size, and no side is broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from pyspark.sql import functions as F
 from evidentia.llm import scratch
 
 BLOCK_ROWS = 4096
-SCHEMA = "part int, dim int, n int, ids binary, data binary, norm double"
+#: From a matrix of vectors to one of small numbers and one of doubles that belong to its rows.
+Convert = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Queries that meet a block of all vectors in one task.
+GROUP_ROWS = 32768
+SCHEMA = "part int, nth int, dim int, ids binary, data binary, aux binary"
 
 
 def finite(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -33,52 +38,59 @@ def finite(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def pack(rows: DataFrame, convert: Callable[[np.ndarray], np.ndarray], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def largest(rows: DataFrame) -> float:
+    """The largest size of a component."""
+    return rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+
+
+def pack(rows: DataFrame, convert: Convert, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of ``convert``ed vectors, made partition by partition."""
 
-    def block(ids: list[int], vectors: list[np.ndarray]) -> dict:
-        m = convert(np.stack(vectors))
-        with np.errstate(over="ignore"):
-            norm = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max())
-        return {"part": TaskContext.get().partitionId(), "dim": m.shape[1], "n": len(m), "ids": np.array(ids, np.int64).tobytes(), "data": m.tobytes(), "norm": norm}
+    def block(nth: int, ids: list[int], vectors: list[np.ndarray]) -> pd.DataFrame:
+        data, aux = convert(np.stack(vectors))
+        row = {"part": TaskContext.get().partitionId(), "nth": nth, "dim": len(vectors[0]), "ids": np.array(ids, np.int64).tobytes(), "data": data.tobytes(), "aux": aux.astype(np.float64).tobytes()}
+        return pd.DataFrame([row])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[int, tuple[list, list]] = {}  # by length
+        nth = 0
         for part in parts:
             for i, v in zip(part["vec_id"].tolist(), part["v"], strict=True):
                 ids, vectors = open_.setdefault(len(v), ([], []))
                 ids.append(i)
                 vectors.append(v)
                 if len(ids) == block_rows:
-                    yield pd.DataFrame([block(*open_.pop(len(v)))])
+                    yield block(nth, *open_.pop(len(v)))
+                    nth += 1
         for ids, vectors in open_.values():
-            yield pd.DataFrame([block(ids, vectors)])
+            yield block(nth, ids, vectors)
+            nth += 1
 
     return rows.mapInPandas(run, SCHEMA)
 
 
-def unpack(row, dtype) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, dtype).reshape(row.n, row.dim)
+def unpack(block, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and the two matrices that ``convert`` made."""
+    ids = np.frombuffer(block.ids, np.int64)
+    return ids, np.frombuffer(block.data, dtype).reshape(len(ids), block.dim), np.frombuffer(block.aux, np.float64).reshape(len(ids), -1)
 
 
 class Tiles:
     """Staged blocks of queries and of all vectors."""
 
-    def __init__(self, rows: DataFrame, is_query: Column, convert: Callable[[np.ndarray], np.ndarray]):
-        rows = scratch.stage(rows, "vectors")
+    def __init__(self, rows: DataFrame, is_query: Column, convert: Convert):
         self.vectors = scratch.stage(pack(rows, convert), "blocks")
         asked = rows.where(is_query)
-        self.groups = max(1, -(-asked.count() // BLOCK_ROWS))
+        self.groups = max(1, -(-asked.count() // GROUP_ROWS))
         self.queries = scratch.stage(pack(asked.repartition(self.groups, "vec_id"), convert), "queries")
         self.slices = max(1, self.vectors.count())
-        self.norm = self.vectors.agg(F.max("norm")).first()[0] or 0.0
 
     def run(self, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, state: DataFrame | None = None) -> DataFrame:
-        """``tile`` on the blocks of every tile group; ``state`` (g, ...) is joined to the query blocks of a group."""
+        """``tile`` on the blocks of every tile group; ``state`` (g, nth, ...) is joined to the query blocks."""
         tasks = min(self.groups * self.slices, 20_000)
         q = self.queries.withColumnRenamed("part", "g")
         if state is not None:
-            q = q.join(state, "g")
+            q = q.join(state, ["g", "nth"])
         q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(self.slices - 1))))
         c = self.vectors.withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(self.slices)).cast("int")).drop("part")
         c = c.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))))

@@ -9,138 +9,174 @@ among those equal to it, as many as are missing by smallest vec_id. A tile
 counts only bins from its own k-th score upwards: the k-th score of all is no
 lower, so nothing below matters.
 
-Scores are exact: products are taken in double precision where the norms bound
-them below 2**53, in Python integers otherwise (and beyond the range of long
-they stop at its ends).
+Blocks hold components in one or two bytes where they fit, so that what a tile
+needs of the vectors is small in every round. Scores are exact: products are
+taken in single or double precision where the norms bound them below 2**24 or
+2**52, in Python integers otherwise (and beyond the range of long they stop at
+its ends).
 
 Defined cases: vectors that are null, empty or hold null or non-finite
-components, and rows without vec_id, take no part; rows of one vec_id are one
-vector (the smallest); vectors of different lengths are no candidates of each
-other; a query with fewer candidates than k gets them all; an empty table gives
-an empty result; further columns are not looked at.
+components, and rows without vec_id, take no part; any finite component will do;
+rows of one vec_id are one vector (the smallest); vectors of different lengths
+are no candidates of each other; a query with fewer candidates than k gets them
+all; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import scratch
-from evidentia.llm.blocks import Tiles, finite, unpack
+from evidentia.llm.blocks import Tiles, finite, largest, unpack
 
 K = 5
 SCALE = 256
+#: Bins of a round, a power of two.
 BINS = 4096
 STEP = 512
 LOWEST = -(1 << 63)
 
 
-def to_integers(m: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * m)  # whole numbers, kept as doubles
+def whole(x: float) -> int:
+    """floor(SCALE * x) for any finite x."""
+    return math.floor(SCALE * x) if abs(x) < 2.0**1000 else SCALE * int(x)
+
+
+def narrowest(top: int):
+    """The smallest type of components up to ``top``; beyond two bytes, vectors travel as they are."""
+    return np.int8 if top < 1 << 7 else np.int16 if top < 1 << 15 else np.float64
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two matrices of whole numbers, as int64."""
-    bound = np.sqrt((a * a).sum(axis=1)).max() * np.sqrt((b * b).sum(axis=1)).max()
-    if bound < 2**52:
-        return (a @ b.T).astype(np.int64)
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
-    exact = whole(a) @ whole(b).T
-    return np.array([[min(max(x, LOWEST + 1), (1 << 63) - 1) for x in row] for row in exact], np.int64)
-
-
-def _scored(queries: pd.DataFrame, candidates: pd.DataFrame):
-    """Of every step of queries and block of candidates: query ids, candidate ids, scores (own: LOWEST), state row."""
-    blocks = [unpack(c, np.float64) for c in candidates.itertuples()]
+    """Inner products of the rows of two matrices, as int64; integers, or doubles still to be scaled."""
+    if a.dtype != np.float64:
+        a32, b32 = a.astype(np.float32), b.astype(np.float32)
+        if _norm(a32) * _norm(b32) < 2**24:
+            return (a32 @ b32.T).astype(np.int64)
+        a64, b64 = a.astype(np.float64), b.astype(np.float64)  # two bytes a component: exact up to half a million components
+        return (a64 @ b64.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, y = np.floor(SCALE * a), np.floor(SCALE * b)
+        big_x, big_y = (~(np.sqrt((m * m).sum(axis=1)) < 2**26) for m in (x, y))
+    x[big_x], y[big_y] = 0, 0
+    out = (x @ y.T).astype(np.int64)
+    exact = lambda m: np.array([[whole(c) for c in row] for row in m.tolist()], dtype=object)
+    clip = lambda m: np.array([[min(max(c, LOWEST + 1), -LOWEST - 1) for c in row] for row in m], np.int64)
+    if big_x.any():
+        out[big_x] = clip(exact(a[big_x]) @ exact(b).T)
+    if big_y.any():
+        out[:, big_y] = clip(exact(a) @ exact(b[big_y]).T)
+    return out
+
+
+def _norm(m: np.ndarray) -> float:
+    return float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max()) if len(m) else 0.0
+
+
+def _scored(queries: pd.DataFrame, candidates: pd.DataFrame, dtype):
+    """Of every step of queries with a state and block of candidates: query ids, their states, candidate ids, scores (own: LOWEST)."""
+    blocks = [(c.dim, *unpack(c, dtype)[:2]) for c in candidates.itertuples()]
     for q in queries.itertuples():
-        all_ids, all_rows = unpack(q, np.float64)
-        state = {s["query_id"]: s for s in q.states} if hasattr(q, "states") else None
-        for at in range(0, len(all_ids), STEP):
-            ids, rows = all_ids[at : at + STEP], all_rows[at : at + STEP]
-            for c_ids, c_rows in blocks:
-                if c_rows.shape[1] == rows.shape[1]:
-                    scores = products(rows, c_rows)
-                    scores[ids[:, None] == c_ids[None, :]] = LOWEST
-                    yield ids, c_ids, scores, state
-
-
-def _count(k: int):
+        ids, rows, _ = unpack(q, dtype)
+        at = {i: n for n, i in enumerate(ids.tolist())}
+        states = np.array([(at[s["query_id"]], s["lo"], s["hi"], s["need"], s["exact"]) for s in q.states], np.int64)
+        for n in range(0, len(states), STEP):
+            state = states[n : n + STEP]
+            mine = ids[state[:, 0]]
+            for dim, c_ids, c_rows in blocks:
+                if dim == q.dim:
+                    scores = products(rows[state[:, 0]], c_rows)
+                    scores[mine[:, None] == c_ids[None, :]] = LOWEST
+                    yield mine, state[:, 1:], c_ids, scores
+
+
+def _count(k: int, shift: int, dtype):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ids, c_ids, scores, state in _scored(queries, candidates):
-            for i, q in enumerate(ids.tolist()):
-                s = state.get(q) if state else None
-                if s is None:
-                    continue
-                own = scores[i]
-                own = own[(own >= s["lo"]) & (own <= s["hi"]) & (own != LOWEST)]
-                if not len(own):
-                    continue
-                bins = (own - s["lo"]) // s["width"]
-                need = s["need"]
-                if len(bins) > need:
-                    bins = bins[bins >= np.partition(bins, len(bins) - need)[len(bins) - need]]
-                at, n = np.unique(bins, return_counts=True)
-                out.append(pd.DataFrame({"query_id": q, "bin": at, "n": n}))
-        return pd.concat(out).astype("int64") if out else pd.DataFrame({"query_id": [], "bin": [], "n": []}, dtype="int64")
+        found = []
+        for ids, state, _, scores in _scored(queries, candidates, dtype):
+            lo, hi, need = state[:, 0:1], state[:, 1:2], state[:, 2]
+            # differences wrap around as unsigned numbers do
+            bins = ((scores.view(np.uint64) - lo.astype(np.int64).view(np.uint64)) >> np.uint64(shift)).astype(np.int64)
+            bins[(scores < lo) | (scores > hi) | (scores == LOWEST)] = -1
+            least = np.zeros(len(ids), np.int64)
+            if bins.shape[1] > k:
+                top = np.partition(bins, range(bins.shape[1] - k, bins.shape[1]), axis=1)
+                least = np.maximum(top[np.arange(len(ids)), bins.shape[1] - need], 0)
+            r, c = np.nonzero(bins >= least[:, None])
+            key, n = np.unique(r * BINS + bins[r, c], return_counts=True)
+            row, bin_ = key // BINS, key % BINS
+            edge = (lo[row, 0].view(np.uint64) + (bin_.astype(np.uint64) << np.uint64(shift))).view(np.int64)
+            found.append((ids[row], edge, n))
+        return _frame(found, ("query_id", "edge", "n"))
 
     return run
 
 
-def _select(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for ids, c_ids, scores, state in _scored(queries, candidates):
-        for i, q in enumerate(ids.tolist()):
-            s = state.get(q) if state else None
-            if s is None:
-                continue
-            own = scores[i]
-            above = np.flatnonzero((own > s["hi"]) & (own != LOWEST))
-            equal = np.flatnonzero((own >= s["lo"]) & (own <= s["hi"]) & (own != LOWEST))
-            equal = equal[np.argsort(c_ids[equal], kind="stable")[: s["need"]]] if s["width"] == 1 else equal
-            at = np.concatenate((above, equal))
-            out.append(pd.DataFrame({"query_id": q, "vec_id": c_ids[at], "score": own[at]}))
-    return pd.concat(out).astype("int64") if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+def _select(dtype):
+    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for ids, state, c_ids, scores in _scored(queries, candidates, dtype):
+            lo, hi, need, exact = state.T
+            r, c = np.nonzero((scores > np.where(exact == 1, hi, LOWEST)[:, None]) & (scores != LOWEST))
+            found.append((ids[r], c_ids[c], scores[r, c]))
+            r, c = np.nonzero((scores == lo[:, None]) & (exact == 1)[:, None])
+            order = np.lexsort((c_ids[c], r))
+            r, c = r[order], c[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c = r[nth < need[r]], c[nth < need[r]]
+            found.append((ids[r], c_ids[c], scores[r, c]))
+        return _frame(found, ("query_id", "vec_id", "score"))
+
+    return run
+
+
+def _frame(found: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pd.DataFrame:
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[]] * len(names)
+    return pd.DataFrame(dict(zip(names, columns, strict=True))).astype("int64")
 
 
 def top_scores(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of every query."""
-    tiles = Tiles(finite(vectors, nonzero=False), is_query, to_integers)
-    top = min(int(tiles.norm**2) + 1, (1 << 62) - 1)
-    width = -(-(2 * top + 1) // BINS)
-    ids = tiles.queries.mapInPandas(lambda parts: (pd.DataFrame({"query_id": unpack(q, np.float64)[0], "g": q.part}) for p in parts for q in p.itertuples()), "query_id long, g int")
-    states = ids.select("g", "query_id", F.lit(-top).cast("long").alias("lo"), F.lit(top).cast("long").alias("hi"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
-    while True:
-        states = scratch.stage(states, "states")
-        # at most a block of queries for each g
-        by_group = states.groupBy("g").agg(F.collect_list(F.struct("query_id", "lo", "hi", "width", "need")).alias("states"))
-        counts = tiles.run(_count(k), "query_id long, bin long, n long", by_group)
-        counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-        joined = counts.join(states, "query_id").withColumn("cum", F.sum("n").over(down))
+    """query_id, rank, vec_id, score: the k highest inner products of every query; ``is_query`` looks at vec_id."""
+    rows = scratch.stage(finite(vectors, nonzero=False), "vectors")
+    top = whole(largest(rows)) + 1
+    dtype = narrowest(top)
+    tiles = Tiles(rows, is_query, lambda m: (m if dtype is np.float64 else np.floor(SCALE * m).astype(dtype), np.empty((len(m), 0))))
+    power = min(63, (top * top * (rows.agg(F.max(F.size("v"))).first()[0] or 1)).bit_length())  # all scores are below 2**power
+
+    def named(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for q in part.itertuples():
+                yield pd.DataFrame({"query_id": np.frombuffer(q.ids, np.int64), "g": q.part, "nth": q.nth})
+
+    number = lambda x: F.lit(x).cast("long")
+    ids = tiles.queries.mapInPandas(named, "query_id long, g int, nth int")
+    states = ids.select("g", "nth", "query_id", number(-(1 << power)).alias("lo"), number((1 << power) - 1).alias("hi"), number(k).alias("need"), F.lit(0).alias("exact"))
+    asked = scratch.stage(states, "states")
+    done, shift, bits = None, power + 1, BINS.bit_length() - 1
+
+    def by_block(states: DataFrame) -> DataFrame:
+        return states.groupBy("g", "nth").agg(F.collect_list(F.struct("query_id", "lo", "hi", "need", "exact")).alias("states"))  # a block of queries at most
+
+    while shift:
+        shift = max(0, shift - bits)
+        counts = tiles.run(_count(k, shift, dtype), "query_id long, edge long, n long", by_block(asked))
+        counts = counts.groupBy("query_id", "edge").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("query_id").orderBy(F.desc("edge")).rowsBetween(Window.unboundedPreceding, 0)
+        joined = counts.join(asked, "query_id").withColumn("cum", F.sum("n").over(down))
         hit = joined.where("cum >= need AND cum - n < need")
-        narrowed = hit.select(
-            F.col("query_id").alias("q"), (F.col("lo") + F.col("bin") * F.col("width")).alias("new_lo"), F.least(F.col("lo") + (F.col("bin") + 1) * F.col("width") - 1, "hi").alias("new_hi"), (F.col("need") - F.col("cum") + F.col("n")).alias("new_need")
-        )
-        if width == 1:
-            last = states.join(narrowed, F.col("query_id") == F.col("q"), "left")
-        else:
-            width = -(-width // BINS)
-            last = None
-        refined = states.join(narrowed, F.col("query_id") == F.col("q"), "left")
-        # without a hit the query has fewer candidates than k: its interval stays whole and all of it is taken
-        fewer = F.col("q").isNull()
-        states = refined.select(
-            "g", "query_id", F.when(fewer, F.col("lo")).otherwise(F.col("new_lo")).alias("lo"), F.when(fewer, F.col("hi")).otherwise(F.col("new_hi")).alias("hi"),
-            F.when(fewer, F.greatest(F.col("width"), F.lit(2))).otherwise(F.lit(width)).cast("long").alias("width"), F.when(fewer, F.col("need")).otherwise(F.col("new_need")).alias("need"),
+        narrowed = scratch.stage(
+            hit.select("g", "nth", "query_id", F.col("edge").alias("lo"), (F.col("edge") + ((1 << shift) - 1)).alias("hi"), (F.col("need") - F.col("cum") + F.col("n")).alias("need"), F.lit(int(shift == 0)).alias("exact")), "states"
         )
-        if last is not None:
-            break
-    states = scratch.stage(states, "states")
-    by_group = states.groupBy("g").agg(F.collect_list(F.struct("query_id", "lo", "hi", "width", "need")).alias("states"))
-    found = tiles.run(_select, "query_id long, vec_id long, score long", by_group)
+        if done is None:  # without a hit in the first round a query has fewer candidates than k: it takes them all
+            done = asked.join(narrowed, "query_id", "left_anti")
+        asked = narrowed
+    found = tiles.run(_select(dtype), "query_id long, vec_id long, score long", by_block(asked.unionByName(done)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -114,18 +114,72 @@ def test_top_scores_with_few_candidates(spark):
 
 
 def test_large_products_stay_exact():
-    a = np.array([[2.0**40, 3.0], [1.0, -1.0]])
-    assert topk.products(a, a).tolist() == [[(1 << 63) - 1, 2**40 - 3], [2**40 - 3, 2]]
+    a = np.array([[2.0**40, 3.0], [1.0, -1.0], [1e308, 0.5], [-1e308, 1e308]])
+    whole = [[int(x) * 256 + int(256 * (x % 1)) if abs(x) > 1 else int(256 * x) for x in row] for row in a.tolist()]
+    want = [[min(max(p[0] * q[0] + p[1] * q[1], -(1 << 63) + 1), (1 << 63) - 1) for q in whole] for p in whole]
+    assert topk.products(a, a).tolist() == want
+    small = np.array([[100, -7], [3, 127]], np.int8)
+    assert topk.products(small, small).tolist() == (small.astype(int) @ small.astype(int).T).tolist()
+    two = np.full((2, 700), 32_000, np.int16)
+    assert topk.products(two, two).tolist() == [[700 * 32_000**2] * 2] * 2
+
+
+EXTREME = [(0, [1e160, 0.0]), (1, [2e160, 1.0]), (2, [1.0, 2.0]), (3, [3.0, 4.0]), (4, [1e-300, 2e-300]), (5, [1e-300, 2.5e-300]), (6, [5e-324, 0.0]), (7, [-1e308, 1e308]), (8, [1e308, -1e308]), (9, [1e308, 3.0]), (100, [0.5, 0.5]), (200, [0.0, 1e-323])]
+
+
+def test_extreme_vectors_are_near_or_far(spark):
+    from decimal import Decimal, localcontext
+
+    df = spark.createDataFrame(EXTREME, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") >= 0, 4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    with localcontext() as c:
+        c.prec = 700
+        c.Emax, c.Emin = 10_000, -10_000
+        exact = {(q, i): sum((Decimal(x) - Decimal(y)) ** 2 for x, y in zip(a, b)).sqrt() for q, a in EXTREME for i, b in EXTREME if i != q}
+        for q, _ in EXTREME:
+            want = sorted((float(exact[q, i]), i) for i, _ in EXTREME if i != q)[:4]
+            assert [s for _, s in got[q]] == pytest.approx([d for d, _ in want], rel=1e-12)
+            assert [i for i, _ in got[q]] == [i for _, i in sorted((round(d, 12) if d > 1e-100 else d, i) for d, i in want)]
+
+
+def test_extreme_vectors_have_top_scores(spark):
+    df = spark.createDataFrame(EXTREME, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_scores(df, F.col("vec_id") >= 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = {i: [topk.whole(x) for x in v] for i, v in EXTREME}
+    for q in ints:
+        want = sorted((-min(max(sum(x * y for x, y in zip(ints[q], v)), -(1 << 63) + 1), (1 << 63) - 1), i) for i, v in ints.items() if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_vectors_with_clashing_columns_and_a_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("v", "class", "query_id", "score", "g", "nth", "asked", "c", "q"):
+        df = df.withColumn(c, F.lit("x"))
+    near, high = defaultdict(list), defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 7).orderBy("query_id", "rank").collect():
+        near[r.query_id].append(r.vec_id)
+    for r in topk.top_scores(df, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        high[r.query_id].append(r.vec_id)
+    m = np.array([v for _, v in rows])
+    n = np.floor(256 * m).astype(int)
+    for q in range(0, 300, 20):
+        assert near[q] == [i for _, i in sorted((float(np.sqrt(((m[q] - m[i]) ** 2).sum())), i) for i in range(300) if i != q)[:7]]
+        assert high[q] == [i for _, i in sorted((-int(n[q] @ n[i]), i) for i in range(300) if i != q)[:5]]
 
 
 def test_quantisation_bounds():
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(40, 64)), rng.normal(size=(50, 64))
-    qa, sa, na, ra = neighbours.quantise(a)
-    qb, sb, nb, rb = neighbours.quantise(b)
-    near = sa[:, None] * sb * neighbours.int8_products(qa, qb)
-    bound = sa[:, None] * sb * (ra[:, None] * nb + na[:, None] * rb + ra[:, None] * rb)
-    assert (np.abs(near - a @ b.T) <= bound + 1e-9).all()
+    a, b = rng.normal(size=(40, 64)), rng.normal(size=(50, 64)) * 10.0 ** rng.integers(-4, 4, (50, 1))
+    low, high = neighbours.bounds(*neighbours.quantise(a), *neighbours.quantise(b))
+    d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    assert (low <= d).all() and (d <= high).all()
 
 
 # 3 toxicity, 6 language

@@ -2,8 +2,9 @@
 
 A local union-find first shrinks the edges of each partition to stars; large
 and small star steps then alternate until nothing changes. Every step is a
-grouped minimum and a join on the node, so that a node with many edges is
-spread by the engine; edges never come to the driver.
+grouped minimum, combined before the exchange, and a join on the node; the few
+nodes with very many edges are joined by broadcast, so that no task gathers
+them. Edges never come to the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import scratch
 
+#: Nodes with more than one part in so many of all edges are joined by broadcast.
+HEAVY = 1000
+
 
 def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parent: dict[int, int] = {}
@@ -43,20 +47,30 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield roots()
 
 
+def _with_low(edges: DataFrame, low: DataFrame, heavy_from: int) -> DataFrame:
+    """``edges`` with the minimum m of their u. Nodes with many edges are few (their number is bounded by the caller) and are broadcast, so that no task gathers one node's edges."""
+    heavy = F.broadcast(low.where(F.col("n") > heavy_from).select("u", F.col("m").alias("heavy_m")))
+    marked = edges.join(heavy, "u", "left")
+    light = marked.where("heavy_m IS NULL").drop("heavy_m").join(low.where(F.col("n") <= heavy_from).drop("n").hint("merge"), "u")
+    return marked.where("heavy_m IS NOT NULL").withColumnRenamed("heavy_m", "m").unionByName(light)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for every node of ``edges`` (u, v: long) but the smallest ones."""
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     links = scratch.stage(links.mapInPandas(_contract, "u long, v long").distinct(), "links")
-    seen = None
+    seen, count = None, links.count()
     while True:
+        # at most 2 * HEAVY nodes have more than a 1 / HEAVY part of the edges, counted at both ends
+        heavy_from = max(64, count // HEAVY)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("a"), "u", "m")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_low(both.where("v > u"), low, heavy_from).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, heavy_from).select(F.col("v").alias("a"), "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         links = scratch.stage(small, "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 32))).first()
         if tuple(state) == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = tuple(state)
+        seen, count = tuple(state), state[0]

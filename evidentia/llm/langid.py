@@ -4,7 +4,7 @@ N-grams of one to three characters (letters lowered, any run of other characters
 one blank, a blank at both ends) are hashed to ``BUCKETS``. Document frequencies
 are counted over every document of the training folds, in one distributed pass.
 The weights are then trained in the driver on a bounded sample, ``PER_LANGUAGE``
-expected rows for each language, by follow-the-regularised-leader with an
+expected rows for each language and ``FIT_BYTES`` in all, by follow-the-regularised-leader with an
 elastic-net penalty (L1 leaves most weights zero), and a temperature is fitted
 on a fifth of that sample kept apart. Prediction reads whole texts, batch by
 batch, and needs no shuffle.
@@ -31,6 +31,8 @@ from evidentia.llm import scratch
 BITS = 17
 BUCKETS = 1 << BITS
 PER_LANGUAGE = 1500
+#: The sample has so many bytes of text at most, in expectation; longer texts than FIT_TEXT are not drawn for it.
+FIT_BYTES, FIT_TEXT = 64 << 20, 1 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 UNKNOWN = "und"
@@ -130,14 +132,15 @@ def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
-def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """About ``per_language`` rows (text, lang) of each language, drawn by a hash of doc_id."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """About ``per_language`` rows (text, lang) of each language, and ``max_bytes`` of text in all, drawn by a hash of doc_id."""
+    labelled = labelled.where(F.octet_length("text") <= FIT_TEXT)
+    counts = {r["lang"]: (r["n"], r["bytes"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
     rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
+    for lang, (n, size) in counts.items():
+        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n, max_bytes / len(counts) / max(1, size)))).otherwise(rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     return labelled.where(draw < rate).orderBy(F.xxhash64("doc_id", F.lit("order")), "text").select("text", "lang").toPandas()
 

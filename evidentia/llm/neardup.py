@@ -19,14 +19,18 @@ document first the partner that most trees propose, then all candidates whose
 ends are not connected by then. A pair left out is inside one component already,
 so no class changes by it.
 
-The forest alone loses groups that hang together through one document only (an
-original whose copies are unlike each other). So what it leaves is met in full:
-``BANDS`` bands of ``DEPTHS[0]`` components put the documents into buckets, and
-all pairs of a bucket that are in different components are candidates, unless
-their sizes or signatures rule them out (``least_agreeing``). As long as it pays,
-a document first meets the one with most links of those, so that an original
-takes in its copies in one round; the last round always meets all that is left.
-Buckets are dealt out in tiles of ``BLOCK`` by ``BLOCK`` documents, none is cut.
+The forest alone loses links where a region is crowded with documents that are
+almost, but not quite, alike. So what it leaves is met in full: ``BANDS`` bands
+of ``DEPTHS[0]`` components put the documents into buckets, and in each bucket
+that holds several components all documents of different components are
+compared, in tiles of about ``BLOCK`` by ``BLOCK``; none is cut. Buckets above
+``CROWD`` that share documents are one crowd, compared once. A tile compares
+signatures (``least_agreeing``); where few pairs remain, these are confirmed like
+other candidates. Where many do, signatures cannot tell, and the tile is computed
+again on full sets: incidence matrices of its shared shingles are multiplied,
+which gives every intersection exactly, and only a spanning forest of its links
+leaves the tile. So the rows that move are linear in the documents of a bucket;
+the comparisons inside a crowd are not, as it is exact.
 
 Defined cases: null and empty texts, and those without words, have the empty
 set and are linked with nothing; rows of one doc_id are one node; a null doc_id
@@ -58,7 +62,12 @@ REGION = 2048
 NEAR = 3
 SALTS = 64
 BANDS = COMPONENTS // DEPTHS[0]
-BLOCK = 512
+#: Documents of a side of a tile; of a bucket that is merged with others; of a tile that is never dense.
+BLOCK, CROWD, FEW = 1024, 512, 32
+#: A tile with more pairs left than this for a document is computed on full sets.
+DENSE = 8
+#: Shingles that an incidence matrix holds at a time.
+COLUMNS = 8192
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,76 +181,177 @@ def least_agreeing(percent: int) -> int:
     return COMPONENTS
 
 
-def unmet(nodes: DataFrame, percent: int, hubs: bool) -> DataFrame:
-    """a, b (a > b): the pairs of each bucket whose ends are in different components; with ``hubs`` for each document only the one with most links.
+def tiles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, component, group, block) of the buckets with several components, and the tiles (group, block, i, j) of each block.
 
-    ``nodes`` (doc_id, n_shingles, signature, component, degree) is a staged table."""
+    ``nodes`` (doc_id, n_shingles, signature, component) is a staged table."""
     width = 2 * DEPTHS[0]
     band = lambda i: F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width))
     keys = nodes.select("doc_id", "component", F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"))
     mixed = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = keys.select("doc_id", "bucket").join(mixed.hint("merge"), "bucket").join(nodes.hint("merge"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "component", "degree", "signature")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    least = least_agreeing(percent)
-
-    def meet(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        tile = part[["bucket", "i", "j"]].to_numpy()
-        group = np.concatenate(([0], (tile[1:] != tile[:-1]).any(axis=1).cumsum()))
-        across = tile[:, 1] != tile[:, 2]
-        block, doc, size, component, degree = (part[c].to_numpy() for c in ("block", "doc_id", "n_shingles", "component", "degree"))
-        sig = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), COMPONENTS)
-        best, partner = np.full(len(part), -1, np.int64), np.zeros(len(part), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held, x, d = 0, np.arange(len(part)), 0
-        while len(x):
-            d += 1
-            x = x[x + d < len(part)]
-            x = x[group[x] == group[x + d]]  # pairs at distance d in the order
-            y = x + d
-            near = (component[x] != component[y]) & ~(across[x] & (block[x] == block[y]))
-            near &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
-            u, v = x[near], y[near]
-            near = (sig[u] == sig[v]).sum(axis=1) >= least
-            u, v = u[near], v[near]
-            if not hubs:
-                found.append((doc[u], doc[v]))
-                held += len(u)
-                if held > 200_000:
-                    yield pairs(found)
-                    found, held = [], 0
-                continue
-            for one, two in ((u, v), (v, u)):
-                better = (degree[two] > best[one]) | ((degree[two] == best[one]) & (doc[two] < partner[one]))
-                one, two = one[better], two[better]
-                best[one], partner[one] = degree[two], doc[two]
-        if hubs:
-            has = best >= 0
-            yield pd.DataFrame({"u": doc[has], "v": partner[has], "degree": best[has]})
-        elif held:
-            yield pairs(found)
-
-    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        return pd.DataFrame({"u": np.concatenate([a for a, _ in found]), "v": np.concatenate([b for _, b in found]), "degree": 0}).drop_duplicates()
+    mixed = scratch.stage(mixed.select("bucket", "n"), "buckets")
+    members = keys.join(mixed.hint("merge"), "bucket")
+    crowded = mixed.where(F.col("n") > CROWD)
+    if not crowded.isEmpty():
+        crowds = scratch.stage(members.where(F.col("n") > CROWD).select("doc_id", "bucket"), "crowds")
+        first = crowds.groupBy("doc_id").agg(F.min("bucket").alias("v"))
+        crowd = connected(crowds.join(first, "doc_id").select(F.col("bucket").alias("u"), "v").distinct())
+        members = members.join(crowd.select(F.col("node").alias("bucket"), F.col("component").alias("crowd")), "bucket", "left").withColumn("bucket", F.coalesce("crowd", "bucket"))
+    members = scratch.stage(members.select("doc_id", "component", F.col("bucket").alias("group")).distinct(), "members")
+    # a large component has blocks of its own, so that its documents need not meet each other
+    whole = Window.partitionBy("group")
+    large = F.col("n") > BLOCK // 2
+    parts = members.groupBy("group", "component").agg(F.count("*").alias("n")).withColumn("others", F.sum(F.when(~large, F.col("n")).otherwise(0)).over(whole))
+    blocks = F.ceil(F.when(large, F.col("n") / BLOCK).otherwise(F.col("others") / BLOCK)).cast("long")
+    parts = parts.select("group", "component", F.when(F.col("others") + F.when(large, F.col("n")).otherwise(0) > BLOCK, blocks).otherwise(F.lit(1).cast("long")).alias("blocks"), large.alias("large"))
+    own = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = members.join(parts.hint("merge"), ["group", "component"]).withColumn("block", F.when(F.col("large"), own).otherwise(F.pmod(F.xxhash64("component"), F.col("blocks"))))
+    placed = scratch.stage(placed.select("doc_id", "component", "group", "block", F.when(F.col("large"), F.col("component")).alias("tag")), "placed")
+    one = placed.groupBy("group", "block").agg(F.max("tag").alias("tag"))
+    two = one.select("group", F.col("block").alias("j"), F.col("tag").alias("tag_j"))
+    met = one.withColumnRenamed("block", "i").join(two, "group").where("i <= j AND NOT coalesce(tag = tag_j, false)")
+    ends = met.select("group", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return placed.drop("tag"), scratch.stage(ends, "tiles")
+
+
+def _by_tile(meet):
+    """``meet`` on whole tiles, a batch of tiles at a time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for part in parts:  # the last tile of a batch may go on in the next one
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             last = part.iloc[-1] if len(part) else None
-            ends = len(part) if last is None else int((~((part["bucket"] == last["bucket"]) & (part["i"] == last["i"]) & (part["j"] == last["j"]))).sum())
+            ends = len(part) if last is None else int((~((part["group"] == last["group"]) & (part["i"] == last["i"]) & (part["j"] == last["j"]))).sum())
             rest = part.iloc[ends:]
             if ends:
                 yield from meet(part.iloc[:ends])
         if rest is not None and len(rest):
             yield from meet(rest)
 
-    found = rows.mapInPandas(run, "u long, v long, degree long")
-    if hubs:
-        found = found.groupBy("u").agg(F.max(F.struct("degree", (-F.col("v")).alias("v"))).alias("m")).select("u", (-F.col("m.v")).alias("v"))
-    return found.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    return run
+
+
+def _starts(part: pd.DataFrame) -> np.ndarray:
+    tile = part[["group", "i", "j"]].to_numpy()
+    return np.append(np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1)))), len(part))
+
+
+def _compare(percent: int):
+    """Pairs u, v of a tile that signatures leave, or one row without u for a tile in which they leave many."""
+    least = least_agreeing(percent)
+
+    def may(size: np.ndarray, u, v) -> np.ndarray:
+        return 100 * np.minimum(size[u], size[v]) >= percent * np.maximum(size[u], size[v])
+
+    def meet(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = _starts(part)
+        n = np.diff(starts)
+        tile = np.repeat(np.arange(len(n)), n)
+        place = part[["group", "i", "j"]].to_numpy()
+        block, doc, size, component = (part[c].to_numpy() for c in ("block", "doc_id", "n_shingles", "component"))
+        across = place[:, 1] != place[:, 2]
+        sig = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), COMPONENTS)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        x, d = np.flatnonzero(n[tile] <= FEW), 0
+        while len(x):  # small tiles, all at once: pairs at distance d in the order
+            d += 1
+            x = x[x + d < len(part)]
+            x = x[tile[x] == tile[x + d]]
+            y = x + d
+            near = (component[x] != component[y]) & ~(across[x] & (block[x] == block[y])) & may(size, x, y)
+            u, v = x[near], y[near]
+            near = (sig[u] == sig[v]).sum(axis=1) >= least
+            found.append((u[near], v[near]))
+        dense = []
+        for t in np.flatnonzero(n > FEW):
+            at, end = starts[t], starts[t + 1]
+            own, held = [], 0
+            for u in range(at, end - 1):
+                same = (sig[u + 1 : end] == sig[u]).view(np.uint64).sum(axis=1)  # bytes of up to eight
+                agree = (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+                v = u + 1 + np.flatnonzero((agree >= least) & (component[u + 1 : end] != component[u]))
+                v = v[may(size, u, v) & ~(across[u] & (block[v] == block[u]))]
+                own.append((np.full(len(v), u), v))
+                held += len(v)
+                if held > DENSE * n[t]:
+                    dense.append(at)
+                    break
+            else:
+                found += own
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pd.DataFrame({"group": place[u, 0], "i": place[u, 1], "j": place[u, 2], "u": pd.array(doc[u], "Int64"), "v": pd.array(doc[v], "Int64")})
+        yield pd.DataFrame({"group": place[dense, 0], "i": place[dense, 1], "j": place[dense, 2], "u": pd.array([None] * len(dense), "Int64"), "v": pd.array([None] * len(dense), "Int64")})
+
+    return _by_tile(meet)
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets of ``a`` with those of ``b``: a product of incidence matrices of the shared elements."""
+    out = np.zeros((len(a), len(b)), np.float32)  # exact up to 2**24
+    values = np.concatenate(a + b)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    edge = np.concatenate(([True], values[1:] != values[:-1]))
+    column = np.cumsum(edge) - 1
+    shared = np.bincount(column) > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = rank[column[keep]], owner[keep]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        m = np.zeros((len(a) + len(b), min(COLUMNS, int(shared.sum()) - at)), np.float32)
+        m[owner[lo:hi], column[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _multiply(k: int, percent: int):
+    """A spanning forest of the links of each tile, from its full sets."""
+
+    def meet(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = _starts(part)
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            tile = part.iloc[at:end]
+            block, doc, component = (tile[c].to_numpy() for c in ("block", "doc_id", "component"))
+            sets = [shingle_set(zlib.decompress(body), k) for body in tile["body"]]
+            left = np.flatnonzero(block == tile["i"].iloc[0])
+            right = np.flatnonzero(block == tile["j"].iloc[0])
+            common = intersections([sets[x] for x in left], [sets[x] for x in right])
+            size = np.array([len(s) for s in sets], np.float64)
+            linked = (100.0 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (component[left][:, None] != component[right][None, :])
+            root = np.arange(len(doc))
+            while True:  # the smallest document that each one is linked with, until nothing changes
+                low = root.copy()
+                low[left] = np.minimum(low[left], np.where(linked, root[right][None, :], len(doc)).min(axis=1))
+                low[right] = np.minimum(low[right], np.where(linked, low[left][:, None], len(doc)).min(axis=0))
+                low = low[low]
+                if (low == root).all():
+                    break
+                root = low
+            some = np.flatnonzero(root != np.arange(len(doc)))
+            if len(some):
+                yield pd.DataFrame({"u": doc[some], "v": doc[root[some]]})
+
+    return _by_tile(meet)
+
+
+def met_in_full(nodes: DataFrame, texts, k: int, percent: int) -> DataFrame:
+    """Links u, v between different components of ``nodes`` that complete them; ``texts`` gives the bodies of a table of doc_ids."""
+    members, ends = tiles(nodes)
+    rows = members.join(ends.hint("merge"), ["group", "block"]).join(nodes.select("doc_id", "n_shingles", "signature").hint("merge"), "doc_id")
+    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    left = scratch.stage(rows.mapInPandas(_compare(percent), "group long, i long, j long, u long, v long"), "left")
+    pairs = left.where("u IS NOT NULL").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    links = confirm(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), k, percent)
+    dense = left.where("u IS NULL").select("group", "i", "j")
+    if dense.isEmpty():
+        return scratch.stage(links, "links")
+    rows = members.join(ends.join(dense, ["group", "i", "j"]), ["group", "block"])
+    rows = scratch.stage(rows, "dense")
+    rows = rows.join(texts(rows.select("doc_id")).hint("merge"), "doc_id").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return scratch.stage(links.unionByName(rows.mapInPandas(_multiply(k, percent), "u long, v long")), "links")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -251,14 +361,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     classes = scratch.stage(named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")), "classes")
     pairs = scratch.stage(candidates(classes.select("doc_id", "signature").distinct()), "pairs")
 
-    def texts(pairs: DataFrame) -> DataFrame:
+    def texts(some: DataFrame) -> DataFrame:
         # texts move once, and only those of candidates move again; they are never broadcast, so that every size has one plan
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = classes.select("fingerprint", "doc_id").join(involved, "doc_id", "left_semi").hint("merge")
+        wanted = classes.select("fingerprint", "doc_id").join(some.distinct(), "doc_id", "left_semi").hint("merge")
         bodies = named.select("doc_id", "fingerprint", "body").join(wanted, ["doc_id", "fingerprint"], "left_semi")
         return scratch.stage(bodies.groupBy("doc_id").agg(F.max("body").alias("body")), "bodies")
 
-    bodies = texts(pairs)
+    bodies = texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     both = pairs.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("end"))
     best = both.groupBy("end").agg(F.max(F.struct("votes", F.greatest(-F.col("a"), -F.col("b")), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -276,22 +385,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     odd = named.select("doc_id", "fingerprint").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     ties = ties.join(odd, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("first_doc").alias("v"))
     links = scratch.stage(first.unionByName(second).unionByName(ties), "links")
-    hubs = True
-    while True:
-        whole = scratch.stage(connected(links), "parts")
-        degree = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-        nodes = classes.select("doc_id", "n_shingles", "signature").join(whole.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").join(degree.hint("merge"), "doc_id", "left")
-        nodes = scratch.stage(nodes.withColumn("component", F.coalesce("component", "doc_id")).withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))), "nodes")
-        left = scratch.stage(unmet(nodes, percent, hubs), "pairs")
-        asked = left.count()
-        if not asked:
-            break
-        more = scratch.stage(confirm(left, texts(left), k, percent), "links")
-        links = links.unionByName(more)
-        if not hubs:
-            whole = connected(links)
-            break
-        hubs = 2 * more.count() > asked  # few links: meet all that is left at once
+    so_far = scratch.stage(connected(links), "parts").withColumnRenamed("node", "doc_id").hint("merge")
+    nodes = classes.select("doc_id", "n_shingles", "signature").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = met_in_full(scratch.stage(nodes, "nodes"), texts, k, percent)
+    whole = connected(links.unionByName(more))
     of = scratch.stage(
         same.join(whole, F.col("first_doc") == F.col("node"), "left").select(F.col("fingerprint").alias("of_print"), F.coalesce("component", "first_doc").alias("component")), "components"
     )

@@ -42,6 +42,8 @@ DIM = 16
 FILTERS = {1: 16, 2: 8, 3: 8}
 #: Expected rows of the training sample, by label.
 SAMPLE = {1: 2500, 0: 5000}
+#: Bytes of text in the sample at most, in expectation; longer texts than FIT_TEXT are not drawn for it.
+FIT_BYTES, FIT_TEXT = 64 << 20, 1 << 20
 #: Passes over the sample: about STEPS batches in all, within these bounds.
 STEPS, EPOCHS = 1200, (14, 30)
 BATCH = 64
@@ -312,14 +314,17 @@ def threshold(logit: np.ndarray, truth: np.ndarray) -> float:
     return float((ranked[widest] + ranked[widest + 1]) / 2)
 
 
-def sample(documents: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) -> pd.DataFrame:
-    """About ``sizes`` rows (text, lang, toxic) of each label, drawn by a hash of doc_id."""
+def sample(documents: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE, max_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """About ``sizes`` rows (text, lang, toxic) of each label, and ``max_bytes`` of text in all, drawn by a hash of doc_id."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
-    rate = F.when(F.col("toxic") == 1, min(1.0, sizes[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, sizes[0] / max(1, counts.get(0, 0))))
+    texts = documents.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT)
+    mean = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0  # the toxic ones are taken to be as long as others
+    share = min(1.0, max_bytes / (sum(sizes.values()) * mean))
+    rate = F.when(F.col("toxic") == 1, min(1.0, share * sizes[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, share * sizes[0] / max(1, counts.get(0, 0))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     drawn = one.where(draw < rate)  # about the sum of sizes, whatever the input
-    rows = documents.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
+    rows = texts.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
     return rows.orderBy(F.xxhash64("doc_id", F.lit("order")), "text").select("text", "lang", "toxic").toPandas()
 
 

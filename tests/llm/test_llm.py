@@ -210,6 +210,21 @@ def test_toxicity_query(spark):
     assert len(got) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_toxicity_query_is_accurate(spark):
+    sf = SF.replace("0.001", "0.01")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in toxicity.op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    hits = sum(r.predicted and truth[r.doc_id] for r in held)
+    assert hits / sum(truth[r.doc_id] for r in held) >= 0.8 and hits / sum(r.predicted for r in held) >= 0.8
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = [(i, "word " * 200, "en", "s") for i in range(400)] + [(1000, "x" * (toxicity.FIT_TEXT + 1), "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000, 1)], "doc_id long, toxic int")
+    for found in (toxicity.sample(docs(spark, rows), labels, max_bytes=100_000), langid.sample(docs(spark, rows), max_bytes=100_000)):
+        assert 20_000 < found["text"].str.len().sum() < 200_000
+
+
 def test_language_query_is_accurate(spark):
     got = {r.doc_id: r for r in langid.op6_language_id(spark, SF).collect()}
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -278,8 +293,33 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, region):
     assert got == want
 
 
+def test_near_duplicates_on_a_crowded_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 32)  # the forest alone loses links here
+    monkeypatch.setattr(neardup, "CROWD", 64)
+    monkeypatch.setattr(neardup, "BLOCK", 128)
+    rng = random.Random(5)
+    edit = lambda words, n: [f"e{rng.random()}" if i in at else w for at in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        rows.append((i, edit(base, rng.randrange(6, 11))))
+        if i % 20 == 0:
+            rows.append((10_000 + i, edit(rows[-1][1], 6)))
+    rows = [(i, " ".join(words)) for i, words in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_intersections_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:10]]
+    assert neardup.intersections(sets[:10], sets[10:]).tolist() == want
+
+
 def test_near_duplicates_through_one_original(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 64)  # buckets are dealt out in several tiles
+    monkeypatch.setattr(neardup, "BLOCK", 64)  # crowds are dealt out in several tiles
+    monkeypatch.setattr(neardup, "CROWD", 32)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(602)]
     rows = [(0, " ".join(base))]

@@ -63,7 +63,7 @@ def positive_averages(records: DataFrame, fields: list[str], by: list[str] = ())
     return records.groupBy(*by).agg(*[F.avg(F.when(F.col(f) > 0, F.col(f))).alias(f"avg_{f}") for f in fields])
 
 
-def near_pairs(records: DataFrame, km: float, keys: list[Column] = ()) -> DataFrame:
+def near_pairs(records: DataFrame, km: float) -> DataFrame:
     """a.* , b.* pairs with a.pos < b.pos within km: an equi-join on cells of the globe (``geo.cell``), one side on all 27 neighbours."""
     placed = records.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_c", geo.cell(F.col("lon"), F.col("lat"), km))
     a = placed.alias("a")
@@ -72,11 +72,29 @@ def near_pairs(records: DataFrame, km: float, keys: list[Column] = ()) -> DataFr
     return a.join(b, (F.col("a._c") == F.col("b._n")) & (F.col("a.pos") < F.col("b.pos")) & near)
 
 
+def named_alike(records: DataFrame, km: float, overlap: float) -> DataFrame:
+    """a.*, b.* pairs (a.pos < b.pos) of different sources with prices, within km and with names that overlap by at least so much.
+
+    Names are split once a record. Token sets that overlap so much share one of the
+    first tokens of each (of n, all but ``ceil(overlap * n) - 1``, in an order by
+    hash), so pairs meet on a cell and such a token, not on a cell alone."""
+    named = records.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").withColumn("_t", F.array_sort(F.array_distinct(F.transform(text.tokens(F.col("property_name")), lambda t: F.xxhash64(t)))))
+    kept = F.size("_t") - F.ceil(F.size("_t") * (overlap - 1e-9)).cast("int") + 1
+    placed = named.where(F.size("_t") > 0).withColumn("_c", geo.cell(F.col("lon"), F.col("lat"), km)).withColumn("_k", F.explode(F.slice("_t", F.lit(1), kept)))
+    a = placed.alias("a")
+    b = placed.withColumn("_n", F.explode(geo.around(F.col("_c")))).alias("b")
+    alike = (F.col("a._c") == F.col("b._n")) & (F.col("a._k") == F.col("b._k")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.source") != F.col("b.source"))
+    # of the tokens that both would meet on, the smallest one counts, so that a pair is met once
+    common = F.array_intersect("a._t", "b._t")
+    share = F.size(common) / F.size(F.array_union("a._t", "b._t")) >= overlap
+    near = geo.haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= km
+    return a.join(b, alike).where((F.get(common, F.lit(0)) == F.col("a._k")) & share & near)
+
+
 def conflict_flags(records: DataFrame, km: float = 0.1, tolerance: float = 0.03, overlap: float = 0.9) -> DataFrame:
     """A note on both records of a pair from different sources, at one place and under one name, whose prices differ; the last pair's note stays."""
     x, y = F.col("a.price_m"), F.col("b.price_m")
-    differ = F.abs(x - y) > tolerance * F.greatest(x, y)
-    pairs = near_pairs(records, km).where((F.col("a.source") != F.col("b.source")) & (x > 0) & (y > 0) & differ & (text.name_overlap(F.col("a.property_name"), F.col("b.property_name")) >= overlap))
+    pairs = named_alike(records.select("pos", "source", "property_name", "price_m", "lon", "lat"), km, overlap).where(F.abs(x - y) > tolerance * F.greatest(x, y))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a.pos").alias("pos"), F.col("b.pos").alias("other"), F.col("b.source").alias("src")), F.struct(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other"), F.col("a.source").alias("src")))).alias("e")).select("e.*")
     order = F.struct(F.least("pos", "other"), F.greatest("pos", "other"))
     return both.groupBy("pos").agg(F.max_by("other", order).alias("conflicts_with"), F.max_by("src", order).alias("conflict_source"))
@@ -128,9 +146,7 @@ def leader_groups(edges: DataFrame) -> DataFrame:
 def merge_cross_source(records: DataFrame, fields: list[str], km: float = 0.02, tolerance: float = 0.03, overlap: float = 0.9) -> DataFrame:
     """Deals reported by several sources made one: the most complete record is the base, its blanks are filled in order of pos, sources are joined by ``+``."""
     x, y = F.col("a.price_m"), F.col("b.price_m")
-    pairs = near_pairs(records, km).where(
-        (F.col("a.source") != F.col("b.source")) & (x > 0) & (y > 0) & (F.abs(x - y) <= tolerance * F.greatest(x, y)) & (text.name_overlap(F.col("a.property_name"), F.col("b.property_name")) >= overlap)
-    )
+    pairs = named_alike(records.select("pos", "source", "property_name", "price_m", "lon", "lat"), km, overlap).where(F.abs(x - y) <= tolerance * F.greatest(x, y))
     groups = leader_groups(pairs.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
     filled = sum((F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "", 1).otherwise(0) for f in fields), F.lit(0))
     joined = records.join(groups, "pos", "left").withColumn("leader", F.coalesce("leader", "pos")).withColumn("_full", filled)
@@ -180,14 +196,29 @@ def scorecard(records: DataFrame, by: list[str]) -> DataFrame:
     return share.select(*by, "n_valid", "coverage", "pct_grounded", conf.alias("confidence"), (conf >= 0.6).alias("ok"))
 
 
-ACCEPT = {"office": "office|commercial|business park", "industrial": "industrial|logistics|warehouse", "hotel": "hotel|hospitality"}
-REJECT = {"office": "hotel|residential|industrial", "industrial": "hotel|residential", "hotel": "residential|industrial"}
-
-
-def asset_type_matches(asset: str, description: Column) -> Column:
-    """An accepted word beats a rejected one; what is unknown is kept."""
-    d = F.lower(F.coalesce(description, F.lit("")))
-    return F.when(d.rlike(ACCEPT[asset]), True).when(d.rlike(REJECT[asset]), False).otherwise(True)
+#: Words of a description that an asset type accepts, and those that it rejects. Fixed values.
+ACCEPT = {
+    "office": ("office",),
+    "logistics": ("logistic", "warehouse", "cold storage", "distribution centre", "distribution center", "fulfillment", "fulfilment"),
+    "industrial": ("industrial", "business park", "factory"),
+    "retail": ("retail", "shophouse", "mall"),
+    "residential": ("residential", "apartment", "condominium", "condo", "landed"),
+}
+REJECT = {
+    "office": ("residential", "apartment", "condominium", "condo", "hotel", "serviced apartment", "hospitality", "columbarium"),
+    "logistics": ("residential", "apartment", "condominium", "condo", "hotel", "serviced apartment", "office"),
+    "industrial": ("residential", "apartment", "condominium", "condo", "hotel", "serviced apartment"),
+    "retail": ("residential", "apartment", "condominium", "condo", "hotel", "serviced apartment", "logistics park", "warehouse", "industrial estate"),
+    "residential": ("office", "logistics park", "logistics centre", "warehouse", "industrial estate"),
+}
+
+
+def asset_type_matches(asset: str, *descriptions: Column) -> Column:
+    """An accepted word in any of the descriptions (zoning, sale type, asset type, comment) beats a rejected one; without either, a blank description or an unknown asset type, the record is kept."""
+    said = F.lower(F.concat_ws(" ", *[d.cast("string") for d in descriptions]))
+    names = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: said.contains(w)) if words else F.lit(False)
+    kind = asset.lower()
+    return names(ACCEPT.get(kind, ())) | ~names(REJECT.get(kind, ()))
 
 
 #: Zone keywords in order, each set to be found whole; the first match wins. Fixed values.

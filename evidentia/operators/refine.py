@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from evidentia.functions.dates import let, try_date
 
@@ -23,12 +24,16 @@ def sort_key(value: Column) -> Column:
 
 
 def _key_of(text: Column) -> Column:
-    number = text.try_cast("double")
-    seconds = F.unix_timestamp(try_date(text).cast("timestamp")).cast("double")
-    blank = text.isNull() | (text == "")
-    rank = F.when(blank, 3).when(number.isNotNull(), 0).when(seconds.isNotNull(), 1).otherwise(2)
-    num = F.when(blank, 0.0).when(number.isNotNull(), number).when(seconds.isNotNull(), seconds).otherwise(0.0)
-    return F.struct(rank.alias("rank"), num.alias("num"), F.when(rank == 2, F.lower(text)).otherwise("").alias("txt"))
+    number, blank = text.try_cast("double"), text.isNull() | (text == "")
+    # read as a date only where it isn't a number, and once
+    seconds = F.when(~blank & number.isNull(), F.unix_timestamp(try_date(text).cast("timestamp")).cast("double"))
+
+    def key(x: Column) -> Column:
+        rank = F.when(blank, 3).when(x["n"].isNotNull(), 0).when(x["s"].isNotNull(), 1).otherwise(2)
+        num = F.when(blank, 0.0).otherwise(F.coalesce(x["n"], x["s"], F.lit(0.0)))
+        return F.struct(rank.alias("rank"), num.alias("num"), F.when(rank == 2, F.lower(text)).otherwise("").alias("txt"))
+
+    return let(F.struct(number.alias("n"), seconds.alias("s")), key)
 
 
 def _axis(value: Column) -> Column:
@@ -40,14 +45,29 @@ def present(value: Column) -> Column:
     return value.isNotNull() & (value.cast("string") != "") & ~F.coalesce(number == MISSING_NUMBER, F.lit(False))
 
 
+def bound(value) -> float | None:
+    """A range's bound on the axis of ``sort_key``, read here once: a number, or the seconds of a date; None if neither."""
+    if value in (None, ""):
+        return None
+    spark = SparkSession.getActiveSession()
+    return spark.range(1).select(_axis(F.lit(str(value)))).first()[0]
+
+
 def filter_range(df: DataFrame, field: str, keep_min=None, keep_max=None) -> DataFrame:
-    x = _axis(F.col(field))
-    ok = F.lit(True)
-    if keep_min not in (None, ""):
-        ok = ok & (x >= _axis(F.lit(keep_min)))
-    if keep_max not in (None, ""):
-        ok = ok & (x <= _axis(F.lit(keep_max)))
-    return df.where(x.isNull() | ok)
+    """Rows whose value is in the range, and those without a readable one; with an unreadable bound only the latter.
+
+    Bounds are read once and stand in the plan as literals. A numeric column is compared as it is, so the filter reaches the scan; other values are read once a row."""
+    bounds = [(bound(v), v) for v in (keep_min, keep_max)]
+    (low, _), (high, _) = bounds
+
+    def inside(x: Column) -> Column:
+        ok = F.lit(all(b is not None or v in (None, "") for b, v in bounds))
+        ok = ok & (x >= low) if low is not None else ok
+        return ok & (x <= high) if high is not None else ok
+
+    if isinstance(df.schema[field].dataType, NumericType):
+        return df.where(F.col(field).isNull() | inside(F.col(field)))
+    return df.where(let(sort_key(F.col(field)), lambda key: (key["rank"] >= 2) | inside(key["num"])))
 
 
 def _any(text: Column, needles: list[str]) -> Column:

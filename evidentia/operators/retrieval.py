@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
 SNIPPET_CHARS = 400
-#: Verbs that make a line a sentence. Fixed values.
-FINITE_VERBS = "is are was were has have had will would can could may rose fell grew declined increased decreased remained reached recorded expects expected".split()
+#: Finite verbs, one of which makes a line a sentence. Fixed values.
+FINITE_VERBS = """
+is are was were been has have had
+will would could should may might
+increase increased increases decrease decreased decreases rise rose rises fall fell falls grow grew grows decline declined declines
+remain remained remains continue continued continues expect expected expects project projected projects record recorded records
+reach reached reaches show showed shows indicate indicated indicates suggest suggested suggests reflect reflected reflects
+represent represented represents absorb absorbed absorbs lease leased leases complete completed completes deliver delivered delivers
+tighten tightened tightens ease eased eases expand expanded expands contract contracted contracts improve improved improves
+weaken weakened weakens exceed exceeded exceeds account accounted accounts underpin underpinned underpins
+constrain constrained constrains support supported supports drive driven drives total totalled totals
+""".split()
 
 
 def overlapping_chunks(documents: DataFrame, size: int = 2000, step: int = 1800) -> DataFrame:
@@ -27,7 +39,7 @@ def prose_lines(body: Column, least: int = 80) -> Column:
         line = F.trim(raw)
         words = F.split(line, r"\s+")
         bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:()\[\]%$'"]+|[.,;:()\[\]%$'"]+$""", "")))
-        table = (F.size(words) >= 4) & line.rlike(r"\d+\.\d+|\d+%|\d[\d,]{3,}") & line.rlike("[A-Za-z]{3,}")
+        table = (F.size(words) >= 4) & line.rlike(r"\d+\.\d+|\d+%|[1-9][\d,]{4,}") & line.rlike("[A-Za-z]{3,}")
         good = F.arrays_overlap(bare, verbs) | F.array_contains(bare, "the") | table
         return (
             F.when(line == "", "\u0001").when(F.size(words) < 3, F.lit(None).cast("string")).when(line.startswith("©") | F.lower(line).rlike("^(source|note):"), F.lit(None).cast("string"))
@@ -41,23 +53,45 @@ def prose_lines(body: Column, least: int = 80) -> Column:
     return F.when(F.length(out) >= least, out).otherwise("")
 
 
-def best_by_similarity(claims: DataFrame, vectors: DataFrame, least: float = 0.20, block_rows: int = 64) -> DataFrame:
-    """claim_id, vec_id, score: the most similar vector of each claim, if similar enough; ties to the smaller vec_id.
+def best_by_similarity(claims: DataFrame, vectors: DataFrame, least: float = 0.20, block_rows: int = 1024) -> DataFrame:
+    """claim_id, vec_id, score: the most similar vector of each claim (by cosine), if similar enough; ties to the smaller vec_id.
 
-    Claims are packed into blocks that meet slices of the vectors over an
-    equi-join on a slice number: neither side is broadcast, and a claim's
-    candidates are reduced to one row in each task before they are exchanged."""
+    Claims and vectors are packed into blocks of unit rows; blocks of claims meet
+    slices of the vectors over an equi-join and are multiplied as matrices in
+    single precision. What is within its rounding of a claim's best is computed
+    again in double precision, and a claim leaves a task with one row."""
     n = max(1, -(-claims.count() // block_rows))
     slices = max(16, 2 * claims.sparkSession.sparkContext.defaultParallelism)
-    packed = claims.groupBy(F.pmod(F.xxhash64("claim_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("claim_id", "embedding")).alias("claims"))
-    packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
-    pairs = sliced.join(packed, "slice").select("vec_id", "embedding", F.explode("claims").alias("c"))
-    scored = pairs.where("c.claim_id <> vec_id").select("c.claim_id", "vec_id", text.cosine(F.col("embedding"), F.col("c.embedding")).alias("score"))
-    best = scored.groupBy("claim_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("neg"))).alias("m"))
+    packed = claims.select(F.pmod(F.xxhash64("claim_id"), F.lit(n)).alias("block"), "claim_id", "embedding").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    ok = "embedding IS NOT NULL AND size(embedding) > 0"
+    tiles = packed.where(ok).groupBy("block", "slice").cogroup(sliced.where(ok).groupBy("block", "slice"))
+    best = tiles.applyInPandas(_best_in_tile, "claim_id long, vec_id long, score double").groupBy("claim_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("neg"))).alias("m"))
     return best.select("claim_id", (-F.col("m.neg")).alias("vec_id"), F.col("m.score").alias("score")).where(F.col("score") >= least)
 
 
+def _best_in_tile(claims: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    found = []
+    for size in set(claims["embedding"].map(len)) & set(vectors["embedding"].map(len)):
+        c, v = (t[t["embedding"].map(len) == size] for t in (claims, vectors))
+        a, b = (np.stack(t["embedding"]).astype(np.float64) for t in (c, v))
+        na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+        unit = lambda m, norm: (m / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
+        ids, own = v["vec_id"].to_numpy(np.int64), c["claim_id"].to_numpy(np.int64)
+        ub = unit(b, nb)
+        for at in range(0, len(own), 256):
+            near = unit(a[at : at + 256], na[at : at + 256]) @ ub.T
+            near[own[at : at + 256, None] == ids[None, :]] = -np.inf
+            row, col = np.nonzero((near >= near.max(axis=1, keepdims=True) - 1e-5) & np.isfinite(near))
+            norm = na[at + row] * nb[col]
+            score = np.where(norm > 0, (a[at + row] * b[col]).sum(axis=1) / np.where(norm > 0, norm, 1.0), 0.0)
+            order = np.lexsort((ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            first = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+            found.append(pd.DataFrame({"claim_id": own[at + row[first]], "vec_id": ids[col[first]], "score": score[first]}))
+    return pd.concat(found) if found else pd.DataFrame({"claim_id": [], "vec_id": [], "score": []}).astype({"claim_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
 def within_budget(chunks: DataFrame, by: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
     """Chunks best first, as long as those taken before stay below the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,31 +126,84 @@ def citation_status(overlap: Column) -> Column:
     return F.when(overlap >= 0.5, "supported").when(overlap >= 0.3, "moderate").otherwise("low")
 
 
-#: Markers of report types: strong ones count three, weak ones one. Fixed values.
-MARKERS = {"sales": (("sale price", "cap rate"), ("transaction", "buyer")), "rent": (("asking rent", "lease term"), ("tenant", "psf")), "land": (("plot ratio", "tender"), ("site", "gfa"))}
-
-
-def keyword_scores(body: Column, markers: dict = MARKERS) -> Column:
-    """map of type to score, each marker counted once."""
+#: Markers of what a file holds: strong ones count three points, weak ones one. Fixed values.
+MARKERS = {
+    "land": (
+        ("successful tenderer", "psf ppr", "per plot ratio", "psf per plot ratio", "date of award", "government land sales", "gls site", "provisional permission", "tendered price", "land rate", "plot ratio"),
+        ("tenderer", "tender", "site area", "land parcel", "state land", "land tender", "gpr", "zoning", "land use", "gross floor area allowable"),
+    ),
+    "sales": (
+        ("cap rate", "npi yield", "capitalisation rate", "capitalization rate", "ftm noi", "net property income", "en bloc", "vendor", "purchaser", "seller/buyer", "seller / buyer", "buyer/seller", "sales transaction"),
+        ("buyer", "acquirer", "sale price", "transacted price", "investment sales", "net yield", "psf gfa", "psf on gfa", "acquisition", "seller", "capital markets", "key sales", "price (s$"),
+    ),
+    "rent": (
+        ("asking rent", "gross rent", "face rent", "passing rent", "headline rent", "effective rent", "psf pm", "psf/month", "psf per month", "monthly rent", "rent-free", "rent free", "wale"),
+        ("tenant", "occupier", "lessee", "lease term", "lease commencement", "vacancy", "occupancy", "leasing", "rental", "take-up", "net lettable", "lease transaction"),
+    ),
+}
+#: Markers of a market report; two make one. Fixed values.
+REPORT_MARKERS = (
+    "outlook", "market report", "research report", "marketbeat", "market commentary", "executive summary", "forecast", "our view", "market overview", "market pulse",
+    "research & forecast", "quarterly report", "market insights", "economic overview",
+)
+STRONG, WEAK, LEAST_WEAK, LEAST_REPORT = 3, 1, 5, 2
+
+
+def marker_scores(body: Column, markers: dict = MARKERS) -> Column:
+    """map of type to struct(score, strong): points of the markers found, each counted once, and the number of strong ones."""
     t = F.lower(F.coalesce(body, F.lit("")))
-    hits = lambda ws, n: sum((F.when(t.contains(w), n).otherwise(0) for w in ws), F.lit(0))
-    return F.map_from_arrays(F.array(*map(F.lit, markers)), F.array(*[hits(s, 3) + hits(w, 1) for s, w in markers.values()]))
-
-
-def present_types(scores: Column, least: int = 5) -> Column:
-    """Types with a score, strongest first; equal ones in the order of the markers."""
-    entries = F.transform(F.map_entries(scores), lambda e, i: F.struct((-e["value"]).alias("s"), i.alias("i"), e["key"].alias("k")))
-    return F.transform(F.array_sort(F.filter(entries, lambda e: e["s"] <= -least)), lambda e: e["k"])
-
-
-def links(pages: DataFrame, hint: str = ".", least_title: int = 2, cap: int = 40) -> DataFrame:
-    """page_id, url, title: anchors of a page in order, one for each address without query, whose address has the hint."""
-    found = F.regexp_extract_all("html", F.lit(r'(?is)(<a\b[^>]*href="[^"]+"[^>]*>.*?</a>)'), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("i", "a"))
-    rows = rows.select("page_id", "i", F.regexp_extract("a", r'(?i)href="([^"?]+)', 1).alias("url"), text.html_text(F.col("a")).alias("title"))
-    rows = rows.where(F.col("url").rlike(hint) & (F.length("title") >= least_title))
-    firsts = rows.groupBy("page_id", "url").agg(F.min("i").alias("i"), F.min_by("title", "i").alias("title"))
-    return firsts.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("i"))).where(F.col("n") <= cap).select("page_id", "url", "title")
+    hits = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: t.contains(w)))
+    return F.map_from_arrays(F.array(*map(F.lit, markers)), F.array(*[F.struct((STRONG * hits(s) + WEAK * hits(w)).alias("score"), hits(s).alias("strong")) for s, w in markers.values()]))
+
+
+def present_types(scores: Column, least: int = LEAST_WEAK) -> Column:
+    """Types with a strong marker or ``least`` points, most points first; equal ones in the order of the markers."""
+    entries = F.transform(F.map_entries(scores), lambda e, i: F.struct((-e["value"]["score"]).alias("s"), i.alias("i"), e["value"]["strong"].alias("n"), e["key"].alias("k")))
+    return F.transform(F.array_sort(F.filter(entries, lambda e: (e["n"] >= 1) | (e["s"] <= -least))), lambda e: e["k"])
+
+
+def report_like(name: Column, body: Column) -> Column:
+    """Whether name and body read like a market report."""
+    t = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(body, F.lit(""))))
+    return F.size(F.filter(F.array(*map(F.lit, REPORT_MARKERS)), lambda m: t.contains(m))) >= LEAST_REPORT
+
+
+#: Words in the address of a link to a report. Fixed values.
+REPORT_HINTS = ("research", "insight", "marketbeat", "market-report", "/report", "outlook", "briefing")
+#: How many characters of a title and of the text after a link are kept; how much page is read for the latter; links a page.
+TITLE_CHARS, AFTER_CHARS, AFTER_HTML, LINKS = 140, 280, 900, 40
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """An address seen from its page: as it is, below the same scheme, host or folder."""
+    origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    folder = F.concat(origin, F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(F.substring(base, F.length(origin) + 1, F.length(base)), "[?#].*$", ""), r"^.*/", 0), F.lit("")), F.lit("/")))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:]+:", 0), href))
+        .when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).otherwise(F.concat(folder, href))
+    )
+
+
+def links(pages: DataFrame, hints: tuple[str, ...] = REPORT_HINTS, least_title: int = 6, cap: int = LINKS) -> DataFrame:
+    """page_id, url, title, snippet: links of a page to reports, in order and one for each address without query.
+
+    A link counts if its address ends in .pdf or holds a hint and its text is long
+    enough; the snippet is the text that follows the link. At most ``cap`` a page."""
+    cut = F.split(F.col("html"), r"(?i)(?=<a\b)", -1)
+    rows = pages.select("page_id", F.col("url").alias("base"), "html", F.posexplode(cut).alias("i", "piece"))
+    # where the piece starts in the page, so that what follows the link can be read beyond the piece
+    at = F.sum(F.length("piece")).over(Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    anchor = r'(?is)^<a\b[^>]*?href="([^"]+)"[^>]*>(.*?)</a>'
+    rows = rows.withColumn("at", F.coalesce(at, F.lit(0))).where(F.col("piece").rlike(anchor)).withColumn("href", F.regexp_extract("piece", anchor, 1))
+    after = F.substring(F.col("html"), (F.col("at") + F.length(F.regexp_extract("piece", anchor, 0)) + 1).cast("int"), F.lit(AFTER_HTML))
+    rows = rows.select("page_id", "i", absolute(F.col("base"), F.col("href")).alias("full"), text.html_text(F.regexp_extract("piece", anchor, 2)).alias("title"), text.html_text(after).alias("after"))
+    rows = rows.withColumn("url", F.regexp_replace("full", r"\?.*$", ""))
+    hinted = F.exists(F.array(*map(F.lit, hints)), lambda h: F.lower("url").contains(h)) | F.lower("url").endswith(".pdf")
+    rows = rows.where(hinted & (F.length("title") >= least_title))
+    firsts = rows.groupBy("page_id", "url").agg(F.min(F.struct("i", "full", "title", "after")).alias("m"))
+    order = Window.partitionBy("page_id").orderBy("m.i")
+    found = firsts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    return found.select("page_id", F.col("m.full").alias("url"), F.substring("m.title", 1, TITLE_CHARS).alias("title"), F.substring("m.after", 1, AFTER_CHARS).alias("snippet"))
 
 
 def snippets(pairs: DataFrame) -> DataFrame:

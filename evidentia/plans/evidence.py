@@ -94,12 +94,20 @@ def candidate(spark, sf):
     return ev.real_candidate(sale_comps(spark, sf), ["gfa_sf", "price_m"]).select("pos")
 
 
+_GUARD_SQL = "CASE " + " ".join(
+    f"WHEN a = '{a}' THEN regexp_matches(d, '{'|'.join(ev.ACCEPT[a])}') OR NOT regexp_matches(d, '{'|'.join(ev.REJECT[a])}')" for a in ev.ACCEPT
+) + " END"
+
+
 @query(
     "q_flt7_asset_type",
-    f"WITH {COMPS_SQL} SELECT pos FROM comps WHERE regexp_matches(lower(land_zoning), 'office|commercial|business park') OR NOT regexp_matches(lower(land_zoning), 'hotel|residential|industrial')",
+    f"""WITH {COMPS_SQL}, t AS (SELECT pos, lower(concat_ws(' ', land_zoning, sale_type, property_name, address)) AS d FROM comps)
+SELECT a AS asset, pos FROM t, (VALUES {', '.join(f"('{a}')" for a in ev.ACCEPT)}) k(a) WHERE {_GUARD_SQL}""",
 )
 def asset_type(spark, sf):
-    return sale_comps(spark, sf).where(ev.asset_type_matches("office", F.col("land_zoning"))).select("pos")
+    comps = sale_comps(spark, sf)
+    fields = [F.col(f) for f in ("land_zoning", "sale_type", "property_name", "address")]
+    return comps.select("pos", F.explode(F.array_compact(F.array(*[F.when(ev.asset_type_matches(a, *fields), a) for a in ev.ACCEPT]))).alias("asset")).select("asset", "pos")
 
 
 @query("q_flt8_flt9_country_strata", f"WITH {COMPS_SQL} SELECT pos FROM comps WHERE contains(country, 'N1') AND NOT contains(property_name, 'Strata')")

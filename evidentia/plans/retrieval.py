@@ -90,12 +90,12 @@ def support(spark, sf):
 
 @query(
     "q_txt10_txt11_similarity",
-    """WITH p AS (SELECT q.vec_id AS claim_id, c.vec_id AS vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    """WITH p AS (SELECT q.vec_id AS claim_id, c.vec_id AS vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT claim_id, arg_max(vec_id, (score, -vec_id)) AS vec_id, round(max(score), 6) AS score FROM p GROUP BY claim_id HAVING max(score) >= 0.2""",
 )
 def similarity(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    claims = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), "embedding")
+    claims = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("claim_id"), "embedding")
     return rt.best_by_similarity(claims, vectors).withColumn("score", F.round("score", 6))
 
 
@@ -130,30 +130,37 @@ def statuses(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", rt.citation_status(F.col("quality")).alias("status"))
 
 
+_MARKS = [w for pair in rt.MARKERS.values() for words in pair for w in words] + list(rt.REPORT_MARKERS)
+_quoted = ", ".join("'" + w + "'" for w in _MARKS)
+#: Texts of files: a document with three phrases of the trade, chosen by its id and length.
+_FILES = f"""files AS (SELECT doc_id, concat(coalesce(text, ''), ' ', upper(m[doc_id % {len(_MARKS)} + 1]), ' ', m[n_chars % {len(_MARKS)} + 1], ' ', m[(doc_id * 7 + n_chars) % {len(_MARKS)} + 1]) AS body, source AS name FROM (SELECT *, [{_quoted}] AS m FROM documents))"""
+
+
+def _files(spark, sf):
+    m, n = F.array(*map(F.lit, _MARKS)), len(_MARKS)
+    pick = lambda i: F.get(m, (i % n).cast("int"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.upper(pick(F.col("doc_id"))), F.lit(" "), pick(F.col("n_chars")), F.lit(" "), pick(F.col("doc_id") * 7 + F.col("n_chars")))
+    return _docs(spark, sf).select("doc_id", body.alias("body"), F.col("source").alias("name"))
+
+
+def _count_sql(words) -> str:
+    return "(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + ")"
+
+
 @query(
     "q_agg12_flt15_keyword_scores",
-    """WITH s AS (SELECT doc_id, 3 * contains(lower(text), 'licensed')::INT + contains(lower(text), 'version')::INT + contains(lower(text), 'the')::INT AS legal, 3 * contains(lower(text), 'is')::INT + contains(lower(text), 'of')::INT + contains(lower(text), 'der')::INT AS prose FROM documents)
-SELECT doc_id, CAST(legal AS INTEGER) AS legal, CAST(prose AS INTEGER) AS prose, concat_ws(',', CASE WHEN legal >= 4 AND legal > prose THEN 'legal' WHEN prose >= 4 THEN 'prose' WHEN legal >= 4 THEN 'legal' END, CASE WHEN legal >= 4 AND prose >= 4 THEN CASE WHEN legal > prose THEN 'prose' ELSE 'legal' END END) AS types FROM s WHERE legal <> prose""",
+    f"""WITH {_FILES}, l AS (SELECT doc_id, lower(body) AS t FROM files), s AS (SELECT doc_id, {', '.join(f"{_count_sql(a)} AS {k}_n, 3 * {_count_sql(a)} + {_count_sql(b)} AS {k}" for k, (a, b) in rt.MARKERS.items())} FROM l)
+SELECT doc_id, CAST(land AS INTEGER) AS land, CAST(sales AS INTEGER) AS sales, CAST(rent AS INTEGER) AS rent,
+  array_to_string(list_transform(list_sort(list_filter([{', '.join("{'s': -" + k + ", 'i': " + str(i) + ", 'n': " + k + "_n, 'k': '" + k + "'}" for i, k in enumerate(rt.MARKERS))}], lambda x: x.n >= 1 OR x.s <= -5)), lambda x: x.k), ',') AS types FROM s""",
 )
 def keywords(spark, sf):
-    s = rt.keyword_scores(F.col("text"), {"legal": (("licensed",), ("version", "the")), "prose": (("is",), ("of", "der"))})
-    rows = _docs(spark, sf).select("doc_id", s.alias("s"))
-    return rows.select("doc_id", F.col("s")["legal"].alias("legal"), F.col("s")["prose"].alias("prose"), F.array_join(rt.present_types(F.col("s"), 4), ",").alias("types")).where("legal <> prose")
-
-
-@query("q_agg12_flt15_keyword_scores_all")
-def keywords_all(spark, sf):
-    """All documents, those with equal scores too."""
-    s = rt.keyword_scores(F.col("text"), {"legal": (("licensed",), ("version", "the")), "prose": (("is",), ("of", "der"))})
-    rows = _docs(spark, sf).select("doc_id", s.alias("s"))
-    return rows.select("doc_id", F.col("s")["legal"].alias("legal"), F.col("s")["prose"].alias("prose"), F.array_join(rt.present_types(F.col("s"), 4), ",").alias("types"))
+    rows = _files(spark, sf).select("doc_id", rt.marker_scores(F.col("body")).alias("s"))
+    return rows.select("doc_id", *[F.col("s")[k]["score"].alias(k) for k in rt.MARKERS], F.array_join(rt.present_types(F.col("s")), ",").alias("types"))
 
 
-@query("q_flt16_report_like", "SELECT doc_id, (contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT + contains(lower(text), 'public')::INT) >= 2 AS report_like FROM documents")
+@query("q_flt16_report_like", f"WITH {_FILES}, l AS (SELECT doc_id, lower(name || ' ' || body) AS t FROM files) SELECT doc_id, coalesce({_count_sql(rt.REPORT_MARKERS)}, 0) >= 2 AS report_like FROM l")
 def report_like(spark, sf):
-    t = F.lower("text")
-    n = sum((F.when(t.contains(w), 1).otherwise(0) for w in ("license", "version", "public")), F.lit(0))
-    return _docs(spark, sf).select("doc_id", (n >= 2).alias("report_like"))
+    return _files(spark, sf).select("doc_id", rt.report_like(F.col("name"), F.col("body")).alias("report_like"))
 
 
 @query(
@@ -164,15 +171,23 @@ def html(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
+_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_HINTS = ("/the", "tion", "/a", "en", "ch")
+
+
 @query(
     "q_src21_ded5_links",
-    """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href="[^"]+"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*href="[^"]+"[^>]*>.*?</a>'), 1) AS i FROM pages),
-t AS (SELECT page_id, i, regexp_extract(a, '(?i)href="([^"?]+)', 1) AS url, trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM a),
-g AS (SELECT page_id, url, min(i) AS i, arg_min(title, i) AS title FROM t WHERE length(title) >= 2 GROUP BY ALL)
-SELECT page_id, url, title FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 40""",
+    f"""WITH p AS (SELECT page_id, url AS base, html, string_split(html, '<a ') AS parts FROM pages),
+k AS (SELECT *, unnest(range(2, len(parts) + 1)) AS k FROM p),
+a AS (SELECT page_id, base, html, k, parts[k] AS piece, CAST(list_sum(list_transform(parts[1:k - 1], lambda x: length(x))) AS BIGINT) + 3 * (k - 2) AS off FROM k),
+t AS (SELECT page_id, k, regexp_extract('<a ' || piece, '(?is)^<a\\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS anchor, regexp_extract(base, '^[a-z]+://[^/?#]+') || regexp_extract('<a ' || piece, '(?is)^<a\\b[^>]*?href="([^"]+)"', 1) AS url, html, off FROM a),
+g AS (SELECT page_id, k, url, {_STRIP.format('anchor')} AS title, {_STRIP.format('html[off + length(anchor) + 1:off + length(anchor) + 900]')} AS snippet FROM t WHERE anchor <> ''),
+f AS (SELECT page_id, split_part(url, '?', 1) AS plain, min(k) AS k, arg_min(url, k) AS url, arg_min(title, k) AS title, arg_min(snippet, k) AS snippet FROM g
+  WHERE length(title) >= 3 AND regexp_matches(lower(split_part(url, '?', 1)), '{'|'.join(_HINTS)}') GROUP BY ALL)
+SELECT page_id, url, title[1:140] AS title, snippet[1:280] AS snippet FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) <= 40""",
 )
 def anchors(spark, sf):
-    return rt.links(spark.read.parquet(f"{sf}/pages.parquet"))
+    return rt.links(spark.read.parquet(f"{sf}/pages.parquet"), _HINTS, 3)
 
 
 @query("q_txt19_txt21_render", "SELECT conv_id, string_agg(CAST(turn + 1 AS VARCHAR) || '. ' || role || ' (' || CAST(length(text) AS VARCHAR) || ')', chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")

@@ -40,6 +40,11 @@ def test_months_ago(spark):
     assert column(spark, ["Q2 2025", "2024", "soon", "Jun-26", "Jan 2030"], lambda c: dates.months_ago(c, 2026, 6)) == [13, 24, None, 0, 0]
 
 
+def test_spellings_of_periods(spark):
+    titles = ["q3'25", "Q1-2024", "4Q_23 review", "2024 Q2", "H1 2025", "1H24", "2023-H2", "Sept 2024", "Jan-23", "as of 2018", "q52024", "8Q24", "faq 1 24", "Mayor 5", None, "2H 2024, Q1 2023"]
+    assert column(spark, titles, lambda c: dates.period_of(c, True)) == ["Q3 2025", "Q1 2024", "Q4 2023", "Q2 2024", "Q2 2025", "Q2 2024", "Q4 2023", "Sep 2024", "Jan 2023", "2018", "", "", "", "", "", "Q1 2023"]
+
+
 def test_periods(spark):
     assert column(spark, ["Report 1H 2024", "office 2Q25", "Outlook Mar'24", "2019 review", "none"], lambda c: dates.report_period(c, F.lit(None).cast("string"))) == ["Q2 2024", "Q2 2025", "Mar 2024", "2019", ""]
 

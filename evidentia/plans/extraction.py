@@ -107,9 +107,9 @@ def units(spark, sf):
 
 @query("q_ded2_document_dedup")
 def document_dedup(spark, sf):
-    c = sale_comps(spark, sf).select(F.col("country").alias("doc"), (F.col("pos") % 3).alias("table_id"), "pos", F.col("property_name").alias("name"), F.bround("price_m", 0).alias("price"), F.col("gfa_sf").cast("double").alias("area"))
-    # a document of the test data is a customer's orders
-    return ex.dedup_within_document(c.withColumn("doc", F.concat("doc", F.lit("-"), F.col("name"))))
+    """A document of the test data is the orders of 64 keys in a row: several names, three tables, coarse prices."""
+    c = sale_comps(spark, sf).select(F.expr("pos div 64").cast("string").alias("doc"), (F.col("pos") % 3).alias("table_id"), "pos", F.col("property_name").alias("name"), F.bround(F.col("price_m") / 50, 0).alias("price"), F.col("gfa_sf").cast("double").alias("area"))
+    return ex.dedup_within_document(c)
 
 
 @query("q_jon6_accumulate", f"WITH {COMPS_SQL}, f AS (SELECT property_name, source, min(pos) AS p FROM comps GROUP BY ALL) SELECT min(p) AS pos, string_agg(source, ',' ORDER BY p) AS sources FROM f GROUP BY property_name")
@@ -117,11 +117,6 @@ def accumulate(spark, sf):
     return ex.accumulate(sale_comps(spark, sf), F.col("property_name")).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("q_jon14_latest_output", "SELECT source, max_by(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY source")
-def latest(spark, sf):
-    return _docs(spark, sf).groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
-
-
 @query("q_jon8_agg8_counts_near", f"WITH {COMPS_SQL}, {_PARCELS}, points AS (SELECT DISTINCT lon, lat FROM comps WHERE lon IS NOT NULL) SELECT c.lon, c.lat, count(*) AS n FROM points c JOIN parcels p ON {_NEAR} <= 1.5 GROUP BY ALL")
 def counts_near(spark, sf):
     c = loc.coverage(loc.points(sale_comps(spark, sf)), loc.parcels(spark, sf), 1.5)
@@ -137,12 +132,6 @@ def retail(spark, sf):
     return sale_comps(spark, sf).where("lon IS NOT NULL").select("pos", F.greatest(F.lit(0.0), *pulls).alias("pull"))
 
 
-@query("q_agg14_set5_price_sets", f"WITH {GRID_SQL} SELECT table_id, count(DISTINCT cells[3]) AS prices, bool_and(TRUE) AS subset FROM grid WHERE row % 6 > 1 GROUP BY table_id")
-def price_sets(spark, sf):
-    sets = grid(spark, sf).where("row % 6 > 1").groupBy("table_id").agg(F.collect_set(F.get("cells", F.lit(2))).alias("s"))
-    return sets.select("table_id", F.size("s").cast("long").alias("prices"), (F.size(F.array_except("s", "s")) == 0).alias("subset"))
-
-
 @query("q_agg18_agg19_counts", f"WITH {GRID_SQL} SELECT table_id, count(*) AS rows, CAST(sum(CASE WHEN row % 6 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS flags FROM grid GROUP BY table_id")
 def counts(spark, sf):
     flags = F.when(F.col("row") % 6 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
@@ -161,39 +150,6 @@ def pair_score(spark, sf):
     return sale_comps(spark, sf).select("pos", geo.pair_score(v, F.lit(5.0), True, None).alias("counts"), geo.pair_score(v, F.lit(3.0), False, None).alias("distance"))
 
 
-@query("q_cal14_cal15_classify", f"WITH {COMPS_SQL} SELECT pos, CASE WHEN regexp_matches(sale_type, 'stake') THEN 'Partial' WHEN sale_type = 'Strata' THEN 'Strata' ELSE 'Whole' END || ' ' || CASE WHEN contains(land_zoning, 'Business') THEN 'industrial' WHEN land_zoning = 'Hotel' THEN 'hotel' WHEN contains(land_zoning, 'Residential') THEN 'residential' ELSE 'office' END AS kind FROM comps")
-def classify(spark, sf):
-    s, z = F.col("sale_type"), F.col("land_zoning")
-    kind = F.when(s.contains("stake"), "Partial").when(s == "Strata", "Strata").otherwise("Whole")
-    use = F.when(z.contains("Business"), "industrial").when(z == "Hotel", "hotel").when(z.contains("Residential"), "residential").otherwise("office")
-    return sale_comps(spark, sf).select("pos", F.concat_ws(" ", kind, use).alias("kind"))
-
-
-@query("q_cal16_market_fields", f"WITH {COMPS_SQL} SELECT pos, country AS place FROM comps WHERE address IS NOT NULL")
-def market_fields(spark, sf):
-    full = F.concat_ws(", ", "address", "country", F.lit("Island"))
-    return sale_comps(spark, sf).where("address IS NOT NULL").select("pos", F.trim(F.element_at(F.split(full, ","), -2)).alias("place"))
-
-
-@query("q_cal22_next_source", f"WITH {COMPS_SQL}, n AS (SELECT country, count(DISTINCT source) AS n, min(CAST(source[5:] AS INTEGER)) AS first FROM comps GROUP BY country) SELECT country, CASE WHEN n >= 3 THEN 'stop' ELSE 'pdf_' || CAST(first + n AS VARCHAR) END AS next FROM n")
-def next_source(spark, sf):
-    n = sale_comps(spark, sf).groupBy("country").agg(F.countDistinct("source").alias("n"), F.min(F.substring("source", 5, 9).cast("int")).alias("first"))
-    return n.select("country", F.when(F.col("n") >= 3, "stop").otherwise(F.concat(F.lit("pdf_"), (F.col("first") + F.col("n")).cast("string"))).alias("next"))
-
-
-@query("q_map2_map3_map5_rules", f"WITH {GRID_SQL} SELECT DISTINCT table_id, i AS \"column\", cells[i + 1] LIKE '%Price%' AS is_price FROM grid, range(0, 4) r(i) WHERE row % 6 = 0")
-def map_rules(spark, sf):
-    heads = grid(spark, sf).where("row % 6 = 0").select("table_id", F.posexplode("cells").alias("column", "header")).distinct()
-    return heads.select("table_id", F.col("column").cast("long").alias("column"), F.lower("header").rlike(r"\b(price|consideration)\b").alias("is_price"))
-
-
-@query("q_map6_map9_embedding_tier", "WITH m AS (SELECT label, list(embedding ORDER BY vec_id) AS e FROM embeddings GROUP BY label), c AS (SELECT label, list_transform(range(1, 65), lambda i: list_sum(list_transform(e, lambda v: v[i]::DOUBLE)) / len(e)) AS mean FROM m) SELECT label, round(list_sum(mean), 5) AS total FROM c")
-def field_means(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("label").agg(F.round(F.sum("m"), 5).alias("total"))
-
-
 @query("q_map8_verify", f"WITH {GRID_SQL}, t AS (SELECT DISTINCT table_id FROM grid WHERE row % 6 = 0), d AS (SELECT DISTINCT table_id FROM grid WHERE row % 6 > 1) SELECT t.table_id, f.field, CASE WHEN f.field = 'sale_date' THEN 'no dates' WHEN f.field = 'property_name' THEN NULL WHEN d.table_id IS NULL THEN 'no numbers' END AS flag FROM t LEFT JOIN d ON t.table_id = d.table_id, (VALUES ('property_name'), ('sale_date'), ('price_sgd_m'), ('gfa_sf')) f(field)")
 def map_verify(spark, sf):
     from evidentia.operators import grids
@@ -242,13 +198,6 @@ def summaries(spark, sf):
     return top.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "n_chars"))), lambda x: x["n_chars"].cast("string")), "; ").alias("stats"))
 
 
-@query("q_spa6_spa7_spa10_geocode", f"WITH {COMPS_SQL}, g AS (SELECT property_name, min(lon) AS glon FROM comps GROUP BY property_name) SELECT pos, coalesce(lon, glon, -1) AS lon, lon IS NULL AND glon IS NOT NULL AS by_name FROM comps JOIN g USING (property_name)")
-def geocode(spark, sf):
-    comps = sale_comps(spark, sf)
-    by_name = comps.groupBy("property_name").agg(F.min("lon").alias("glon"))
-    return comps.join(by_name, "property_name").select("pos", F.coalesce("lon", "glon", F.lit(-1.0)).alias("lon"), (F.col("lon").isNull() & F.col("glon").isNotNull()).alias("by_name"))
-
-
 @query("q_spa12_row14_name_lines", f"WITH {COMPS_SQL} SELECT pos, property_name AS name, coalesce(address, '') AS place FROM comps")
 def name_lines(spark, sf):
     lines = F.split(F.concat_ws("\n", "property_name", "address"), "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import retrieval as rt
-from evidentia.plans.register import query
+from evidentia.plans.register import SQL, query
 
 
 def _docs(spark, sf):
@@ -158,6 +158,9 @@ def keywords(spark, sf):
     return rows.select("doc_id", *[F.col("s")[k]["score"].alias(k) for k in rt.MARKERS], F.array_join(rt.present_types(F.col("s")), ",").alias("types"))
 
 
+query("q_agg12_flt15_keyword_scores_all", SQL["q_agg12_flt15_keyword_scores"])(keywords)
+
+
 @query("q_flt16_report_like", f"WITH {_FILES}, l AS (SELECT doc_id, lower(name || ' ' || body) AS t FROM files) SELECT doc_id, coalesce({_count_sql(rt.REPORT_MARKERS)}, 0) >= 2 AS report_like FROM l")
 def report_like(spark, sf):
     return _files(spark, sf).select("doc_id", rt.report_like(F.col("name"), F.col("body")).alias("report_like"))

@@ -59,13 +59,14 @@ TREES = 16
 DEPTHS = (3, 8, 16)
 KEY = 16
 REGION = 2048
-NEAR = 3
+#: Predecessors in an order that are candidates; with one, all neighbours are met, the one of longest common prefix among them.
+NEAR = 1
 SALTS = 64
 BANDS = COMPONENTS // DEPTHS[0]
 #: Documents of a side of a tile; of a bucket that is merged with others; of a tile that is never dense.
 BLOCK, CROWD, FEW = 1024, 512, 32
-#: A tile with more pairs left than this for a document is computed on full sets.
-DENSE = 8
+#: A tile is computed on full sets if it has more pairs left than DENSE for a document, or, between two blocks, than SPARSE: so the pairs that leave tiles are linear in the documents.
+DENSE, SPARSE = 4, 32
 #: Shingles that an incidence matrix holds at a time.
 COLUMNS = 8192
 
@@ -267,6 +268,7 @@ def _compare(percent: int):
         for t in np.flatnonzero(n > FEW):
             at, end = starts[t], starts[t + 1]
             own, held = [], 0
+            most = SPARSE if across[at] else DENSE * n[t]
             for u in range(at, end - 1):
                 same = (sig[u + 1 : end] == sig[u]).view(np.uint64).sum(axis=1)  # bytes of up to eight
                 agree = (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
@@ -274,7 +276,7 @@ def _compare(percent: int):
                 v = v[may(size, u, v) & ~(across[u] & (block[v] == block[u]))]
                 own.append((np.full(len(v), u), v))
                 held += len(v)
-                if held > DENSE * n[t]:
+                if held > most:
                     dense.append(at)
                     break
             else:

@@ -386,11 +386,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     ties = named.select("doc_id", "fingerprint").distinct().join(same, "fingerprint").where("doc_id <> first_doc")
     odd = named.select("doc_id", "fingerprint").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     ties = ties.join(odd, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("first_doc").alias("v"))
-    links = scratch.stage(first.unionByName(second).unionByName(ties), "links")
-    so_far = scratch.stage(connected(links), "parts").withColumnRenamed("node", "doc_id").hint("merge")
+    # the components found so far stand for their links: they are stars already
+    stars = lambda found: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    joined_up = scratch.stage(connected(stars(part).unionByName(second).unionByName(ties)), "parts")
+    so_far = joined_up.withColumnRenamed("node", "doc_id").hint("merge")
     nodes = classes.select("doc_id", "n_shingles", "signature").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     more = met_in_full(scratch.stage(nodes, "nodes"), texts, k, percent)
-    whole = connected(links.unionByName(more))
+    whole = connected(stars(joined_up).unionByName(more))
     of = scratch.stage(
         same.join(whole, F.col("first_doc") == F.col("node"), "left").select(F.col("fingerprint").alias("of_print"), F.coalesce("component", "first_doc").alias("component")), "components"
     )

@@ -1,7 +1,8 @@
 """Connected components of a distributed edge table by alternating stars.
 
-A local union-find first shrinks the edges of each partition to stars; large
-and small star steps then alternate until only stars are left. Every step is a
+A local union-find shrinks the edges of each partition to stars; large and
+small star steps then alternate, the edges shrunk again after each, until only
+stars are left. Every step is a
 grouped minimum, combined before the exchange, and a join on the node; the few
 nodes with very many edges are joined by broadcast, so that no task gathers
 them. Edges never come to the driver.
@@ -55,25 +56,28 @@ def _with_low(edges: DataFrame, low: DataFrame, heavy_from: int) -> DataFrame:
     return marked.where("heavy_m IS NOT NULL").withColumnRenamed("heavy_m", "m").unionByName(light)
 
 
-def _are_stars(links: DataFrame) -> bool:
-    """Whether every u of the distinct edges (u > v) has one v and none is itself a v: then each v is the smallest of its component."""
+def _edges_and_faults(links: DataFrame) -> tuple[int, int]:
+    """How many distinct edges (u > v) there are, and how many nodes keep them from being stars: a u with several v, or one that is itself a v. Without any, each v is the smallest of its component."""
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
     nodes = links.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
-    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+    edges, faults = nodes.agg(F.sum("up"), F.count_if(F.expr("up > 1 OR (up = 1 AND down = 1)"))).first()
+    return edges or 0, faults
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for every node of ``edges`` (u, v: long) but the smallest ones."""
-    links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    links = scratch.stage(links.mapInPandas(_contract, "u long, v long").distinct(), "links")
-    while not _are_stars(links):
+
+    def shrunk(some: DataFrame) -> DataFrame:
+        return scratch.stage(some.where("u <> v").mapInPandas(_contract, "u long, v long").distinct(), "links")
+
+    links = shrunk(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while (state := _edges_and_faults(links))[1]:
         # at most 2 * HEAVY nodes have more than a 1 / HEAVY part of the edges, counted at both ends
-        heavy_from = max(64, links.count() // HEAVY)
+        heavy_from = max(64, state[0] // HEAVY)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = _with_low(both.where("v > u"), low, heavy_from).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _with_low(large, low, heavy_from).select(F.col("v").alias("a"), "u", "m")
-        small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        links = scratch.stage(small, "links")
+        links = shrunk(small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from evidentia.llm import bpe, chat, langid, licences, mixing, neardup, neighbours, sharding, topk, toxicity
+from evidentia.llm import bpe, chat, langid, licences, mixing, neardup, neighbours, periodic, prefixes, quality, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_top_scores": topk.op8_top_scores,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_prefix_trie": prefixes.op11_prefix_trie,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_quality_rules": quality.op13_quality_rules,
     }
 
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_top_scores": topk.SQL_TOP,
         "op9_mixing": mixing.SQL_MIXING,
         "op10_chat_format": chat.SQL_CHAT,
+        "op11_prefix_trie": prefixes.SQL_TRIE,
+        "op12_periodic_runs": periodic.SQL_RUNS,
+        "op13_quality_rules": quality.SQL_QUALITY,
     }

@@ -147,7 +147,8 @@ def trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     prefixes = lengths.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("name"), F.lit(0).cast("long").alias("bytes"))
     if (named := node_names(turns)) is not None:
         prefixes = prefixes.unionByName(named)
-    nodes = prefixes.groupBy("name").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"))
+    # written first, so that the planner can split the hot names (root, common first turns) of the join
+    nodes = scratch.stage(prefixes.groupBy("name").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs")), "nodes")
     paths = scratch.stage(prefixes.join(nodes, "name"), "paths")
     own = paths.where("conv_id = owner")
     above = paths.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("name").alias("parent"), F.col("owner").alias("parent_conv_id"))
@@ -156,7 +157,7 @@ def trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     full = scratch.stage(own.join(children, "name", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))), "nodes")
     weights = full.select("conv_id", "depth", "name", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved_tokens"))
     mine, whole = _own_sums(weights, "n_leaves", "saved_tokens")
-    others = paths.where("conv_id <> owner").select("conv_id", "name").join(whole, "conv_id").select("name", "n_leaves", "saved_tokens")
+    others = paths.where("conv_id <> owner").select("conv_id", "name").join(scratch.stage(whole, "sums"), "conv_id").select("name", "n_leaves", "saved_tokens")
     sums = mine.unionByName(others).groupBy("name").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     ends = paths.select("conv_id", "depth", "name").join(lengths, "conv_id").where("depth = n_turns").select("conv_id", "name")
     out = full.join(sums, "name").join(ids_digests(ends), "name", "left")

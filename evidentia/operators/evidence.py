@@ -124,7 +124,7 @@ def leader_groups(edges: DataFrame) -> DataFrame:
     ``edges`` (a, b) with a < b. Solved in rounds: a record leads as soon as every
     smaller neighbour is known to be a member, and is a member as soon as one
     smaller neighbour leads, so that each round is a join, not a fold in one task."""
-    from evidentia.plans.iterate import staged
+    from evidentia.operators.staging import staged
 
     undecided = staged(edges.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "nodes")
     leaders, members = None, None

@@ -119,3 +119,43 @@ def lease_rows(records: DataFrame) -> DataFrame:
     from evidentia.functions.num import parse_num
 
     return records.select("table_id", "row", "property_name", parse_num(F.col("gfa_sf")).alias("nla_sf"), parse_num(F.col("price_sgd_m")).alias("asking_rent")).where(F.coalesce("nla_sf", F.lit(0.0)) != 0)
+
+
+#: What names a unit in a header. Fixed values.
+UNIT_WORDS = r"(?i)sgd|s\$|psf|per\s*sf|million|billion|/sf|/psf|ppr|sqm|sq\s?ft|nla|gfa|%"
+TAIL_CHARS = 20
+
+
+def _bare(cells: Column) -> Column:
+    return F.filter(F.transform(cells, lambda c: F.btrim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+
+
+def unit_row(cells: Column) -> Column:
+    """Whether every filled line of every cell is one bracket, as units under a header are."""
+    lines = F.filter(F.flatten(F.transform(_bare(cells), lambda c: F.transform(F.split(c, "\n"), lambda x: F.btrim(x)))), lambda x: x != "")
+    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"\A\(.*\)\z"))
+
+
+def header_tail(cells: Column) -> Column:
+    """Whether a row continues a header: no digit, short cells, and a piece of a bracket with a unit."""
+    c = _bare(cells)
+    unit = lambda x: x.rlike(r"[()]") & x.rlike(UNIT_WORDS)
+    return (F.size(c) > 0) & ~F.exists(c, lambda x: x.rlike(r"\p{Nd}")) & F.exists(c, unit) & F.forall(c, lambda x: F.length(x) <= TAIL_CHARS)
+
+
+def fold_headers(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """``grid`` with the unit and continuation rows right below each header (``heads``: table_id, header) merged into it,
+    column by column, the words of a column joined by blanks; ``folded`` counts them on the header's row.
+
+    The rows to fold end before the first row below the header that is neither, a grouped
+    minimum; only they and the header are gathered."""
+    c = F.col("cells")
+    marked = grid.join(heads, "table_id").withColumn("below", F.col("row") > F.col("header"))
+    stop = marked.where(F.col("below") & ~(unit_row(c) | header_tail(c))).groupBy("table_id").agg(F.min("row").alias("stop"))
+    marked = marked.join(stop, "table_id", "left")
+    top = (F.col("row") == F.col("header")) | (F.col("below") & (F.col("stop").isNull() | (F.col("row") < F.col("stop"))))
+    band = marked.where(top).groupBy("table_id", F.col("header").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("band"))
+    width = F.array_max(F.transform("band", lambda x: F.size(x)))
+    column = lambda i: F.array_join(F.filter(F.transform("band", lambda x: F.btrim(F.coalesce(F.get(x, i), F.lit("")))), lambda x: x != ""), " ")
+    merged = band.select("table_id", "row", F.transform(F.sequence(F.lit(0), width - 1), column).alias("cells"), (F.size("band") - 1).alias("folded"))
+    return merged.unionByName(marked.where(~top).select("table_id", "row", "cells", F.lit(0).alias("folded")))

@@ -83,15 +83,6 @@ def kept_verbatim(values: Column, page_text: Column) -> Column:
     return F.map_filter(values, lambda k, v: t.contains(F.lower(F.replace(v, F.lit(","), F.lit("")))))
 
 
-#: Search rules by level, later ones override. Fixed values.
-BASE_RULES = {"max_results": 15, "max_queries": 5, "min_results": 5, "recency_months": 24, "radius_km": 10}
-ASSET_RULES = {"hotel": {"recency_months": 60, "radius_km": 50}, "land": {"recency_months": 36}}
-
-
-def effective_rules(asset: str, deal: dict | None = None) -> dict:
-    return BASE_RULES | ASSET_RULES.get(asset, {}) | (deal or {})
-
-
 #: Search tiers, nearest first, and the years they reach back.
 TIERS = (("proximity", 2), ("city", 2), ("city", 4), ("country", 5))
 

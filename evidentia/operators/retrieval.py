@@ -214,3 +214,50 @@ def snippets(pairs: DataFrame) -> DataFrame:
     s = s.withColumn("overlap", text.keyword_overlap(F.col("claim"), F.col("sentence")))
     best = s.groupBy("item_id", "doc_id").agg(F.max(F.struct("overlap", (-F.col("i")).alias("i"), "sentence", "next")).alias("m"))
     return best.select("item_id", "doc_id", F.substring(F.concat_ws(" ", "m.sentence", "m.next"), 1, SNIPPET_CHARS).alias("snippet"), (F.col("m.overlap") == 0).alias("low_confidence"))
+
+
+#: Fields of a deal's configuration that a claim may state: numbers and texts. Fixed values.
+CONFIG_NUMBERS = ("price_sgd_m", "ftm_noi_cap_rate", "remaining_leasehold_yrs", "gfa_sf")
+CONFIG_TEXTS = ("land_zoning", "currency_symbol", "deal_name", "property_name", "address", "country_name")
+
+
+def states_config(claim: Column, config: Column, numbers: tuple[str, ...] = CONFIG_NUMBERS, texts: tuple[str, ...] = CONFIG_TEXTS) -> Column:
+    """Whether a claim holds a fact of ``config``, a struct with the fields in ``numbers`` and ``texts``: a number as it
+    is, with one decimal, or as a percentage with one, in any unit; a text of three characters and more."""
+    small = F.lower(claim)
+
+    def figure(field: str) -> Column:
+        v = config[field].cast("double")
+        plain = F.regexp_replace(F.regexp_replace(F.format_string("%.9f", v), "0+$", ""), r"\.$", "")
+        forms = F.array(plain, F.format_string("%.1f", v), F.format_string("%.1f", v * 100))
+        return (F.coalesce(v, F.lit(0.0)) != 0) & F.exists(forms, lambda a: text.number_supported(a, claim))
+
+    def word(field: str) -> Column:
+        w = F.lower(F.trim(config[field]))
+        return (F.length(w) >= 3) & small.contains(w)
+
+    return F.exists(F.array(*[F.coalesce(c, F.lit(False)) for c in [*map(figure, numbers), *map(word, texts)]]), lambda x: x)
+
+
+def cascade(claims: DataFrame, documents: DataFrame, vectors: DataFrame, configs: DataFrame, least: float, numbers: tuple[str, ...], texts: tuple[str, ...]) -> DataFrame:
+    """claim_id, citation (contained, similar, deal config or unverified), source, score: where each claim comes from.
+
+    ``claims`` has claim_id, text, deal and embedding (null where there is none). Each
+    step is a join of its own and gets only what the steps before have left: documents
+    that hold the claim (the smallest doc_id), the most similar vector if similar
+    enough, the configuration of the claim's deal (``configs``: deal, config)."""
+    from evidentia.operators.staging import staged
+
+    held = contained_claims(claims.select(F.col("claim_id").alias("item_id"), "text"), documents)
+    held = staged(held.groupBy(F.col("item_id").alias("claim_id")).agg(F.min("doc_id").alias("source")), "contained")
+    rest = claims.join(held, "claim_id", "left_anti")
+    near = staged(best_by_similarity(rest.where("embedding IS NOT NULL").select("claim_id", "embedding"), vectors, least), "similar")
+    last = rest.join(near, "claim_id", "left_anti").join(configs, "deal", "left")
+    stated = F.coalesce(states_config(F.col("text"), F.col("config"), numbers, texts), F.lit(False))
+    none = F.lit(None)
+    parts = [
+        held.select("claim_id", F.lit("contained").alias("citation"), F.col("source").cast("long").alias("source"), none.cast("double").alias("score")),
+        near.select("claim_id", F.lit("similar").alias("citation"), F.col("vec_id").cast("long").alias("source"), "score"),
+        last.select("claim_id", F.when(stated, "deal config").otherwise("unverified").alias("citation"), none.cast("long").alias("source"), none.cast("double").alias("score")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

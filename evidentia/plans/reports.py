@@ -97,12 +97,6 @@ def ladder(spark, sf):
     return rp.ladder(c, 200, "country").select("pos", "country", "tier")
 
 
-@query("q_cal19_rules", "SELECT asset, max_results, recency_months, radius_km FROM (VALUES ('hotel', 15, 60, 50), ('land', 15, 36, 10), ('office', 7, 24, 10)) r(asset, max_results, recency_months, radius_km)")
-def rules(spark, sf):
-    rows = [(a, r["max_results"], r["recency_months"], r["radius_km"]) for a, d in (("hotel", None), ("land", None), ("office", {"max_results": 7})) for r in [rp.effective_rules(a, d)]]
-    return spark.createDataFrame(rows, "asset string, max_results int, recency_months int, radius_km int")
-
-
 @query("q_cal20_query_text", f"WITH {COMPS_SQL} SELECT pos, CASE pos % 3 WHEN 0 THEN 'office transactions near ' || country || ' 2025 OR 2024' WHEN 1 THEN 'office transactions in ' || country || ' 2025 OR 2024' ELSE 'office transactions nationwide 2025 OR 2024' END AS q FROM comps")
 def query_text(spark, sf):
     tier = F.when(F.col("pos") % 3 == 0, "proximity").when(F.col("pos") % 3 == 1, "city").otherwise("country")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.plans.iterate import shared_folder
+from evidentia.operators.staging import shared_folder
 
 DELAY = "2 hours"
 

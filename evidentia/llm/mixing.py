@@ -22,7 +22,8 @@ unpartitioned window runs over one row per source.
 
 Defined cases: a null source is a source of its own; null and empty texts have
 size 0 and are never taken; repeated rows are documents of their own; rows that
-tie in the shuffled order follow doc_id, then size; an empty table gives an
+tie in the shuffled order follow doc_id, then size; rows without doc_id are
+shuffled by their texts; an empty table gives an
 empty result; further columns of the input are not looked at.
 """
 
@@ -49,7 +50,7 @@ POINT_CELL_BITS = 20
 def sized(documents: DataFrame, *keep: str) -> DataFrame:
     """doc_id, source, size, shuffle_key and the columns in ``keep``; no text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
     return documents.select("doc_id", "source", size.alias("size"), key.alias("shuffle_key"), *keep)
 
 
@@ -152,16 +153,22 @@ def taken(narrow: DataFrame, targets: DataFrame, *keys: str, block_words: int =
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """The documents with each one repeated as often as the mix takes it, a part counting as
-    a whole; ``documents`` has no two rows equal in doc_id and text."""
+    """The documents with each one repeated as often as the mix takes it, a part counting as a whole.
+
+    Rows equal in doc_id (null too) and text share what the mix takes of them: each
+    gets the whole part of its share, and the least of them (by its columns in order,
+    as JSON) what is left over. Further columns may have any name."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    narrow = scratch.stage(sized(documents.withColumn("text_key", key), "text_key"), "mix")
+    narrow = scratch.stage(sized(documents.select("doc_id", "source", "text", key.alias("text_key")), "text_key"), "mix")
     targets = scratch.stage(source_targets(narrow), "targets")
-    copies = taken(narrow, targets, "text_key").where("taken > 0").select(
-        F.col("doc_id").alias("mix_doc"), F.col("text_key").alias("mix_key"), F.expr("CAST((taken + size - 1) div size AS INT)").alias("mix_copies")
-    )
-    joined = documents.join(copies, documents["doc_id"].eqNullSafe(F.col("mix_doc")) & (key == F.col("mix_key")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[documents[c] for c in documents.columns])
+    each = taken(narrow, targets, "text_key").select("doc_id", "text_key", F.when(F.col("taken") > 0, F.expr("(taken + size - 1) div size")).otherwise(0).alias("copies"))
+    shares = each.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("equals")).where("copies > 0")
+    shares = scratch.stage(shares.withColumnsRenamed({"doc_id": "of_doc", "text_key": "of_key"}), "shares")
+    rows = documents.select(F.struct("*").alias("row"), key.alias("text_key"))  # the row's columns can't clash with those made here
+    joined = rows.join(shares, F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")))
+    alike = joined.where("equals > 1 AND copies % equals > 0").groupBy("of_doc", "of_key").agg(F.min_by("row", F.to_json("row")).alias("row"), F.max(F.expr("copies % equals")).alias("times"))
+    every = joined.select("row", F.expr("copies div equals").alias("times")).where("times > 0").unionByName(alike.select("row", "times"))
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +181,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_MIXING = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source

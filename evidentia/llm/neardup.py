@@ -29,8 +29,10 @@ signatures (``least_agreeing``); where few pairs remain, these are confirmed lik
 other candidates. Where many do, signatures cannot tell, and the tile is computed
 again on full sets: incidence matrices of its shared shingles are multiplied,
 which gives every intersection exactly, and only a spanning forest of its links
-leaves the tile. So the rows that move are linear in the documents of a bucket;
-the comparisons inside a crowd are not, as it is exact.
+leaves the tile. The rows that move are linear in the documents of a bucket up to
+``BLOCK``; in a larger crowd of n documents in different components each one
+moves to n / ``BLOCK`` tiles, with its signature and in dense tiles with its text,
+so there rows and comparisons alike grow with the square of n.
 
 Defined cases: null and empty texts, and those without words, have the empty
 set and are linked with nothing; rows of one doc_id are one node; a null doc_id
@@ -402,14 +404,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates, of a doc_id's rows the one with the least text; null doc_ids stay."""
-    kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
+    """One row of each group of near duplicates, of a doc_id's rows the one with the least text (null first), of several
+    such the least of the others' texts; rows without doc_id all stay. Further columns may have any name."""
+    kept = near_duplicates(documents.select("doc_id", "text"), k, percent).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
     kept = scratch.stage(kept, "kept")
-    stay = documents.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"))  # one plan at every size
-    once = stay.where("rows = 1")
-    several = stay.where("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())))
-    names = [documents[c] for c in documents.columns]
-    return once.select(*names).unionByName(several.where("nth = 1").select(*documents.columns)).unionByName(documents.where("doc_id IS NULL"))
+    rows = documents.select(F.struct("*").alias("row"))  # its columns can't clash with those made here
+    stay = rows.where("row.doc_id IS NOT NULL").join(kept.hint("merge"), F.col("row.doc_id") == F.col("kept_id"))  # one plan at every size
+    several = Window.partitionBy("kept_id").orderBy(F.col("row.text").asc_nulls_first(), F.to_json("row"))
+    first = stay.where("rows > 1").withColumn("nth", F.row_number().over(several)).where("nth = 1")
+    return stay.where("rows = 1").select("row.*").unionByName(first.select("row.*")).unionByName(documents.where("doc_id IS NULL"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ Both classifiers are fitted on the stage's own input (bounded samples, see
 repeats a document as often as the mix takes it, a part counting as a whole.
 All stages but the last return the columns of ``documents``; the last returns
 doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of the mix.
+
+Defined cases: null, empty and letterless texts have no language and go in the
+first stage; rows without doc_id are linked with nothing, so all of them stay in
+the third, and repeated ones share what the mix takes of their text; of several
+rows of one doc_id one stays; null lang and source are values like others; very
+long texts are worked on whole; an empty table gives an empty result. Further
+columns of ``documents``, whatever their names, go through to the fourth stage.
 """
 
 from __future__ import annotations

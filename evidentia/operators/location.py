@@ -41,24 +41,45 @@ def coverage(places: DataFrame, parcels_: DataFrame, km: float) -> DataFrame:
     return _near(places, parcels_, km).groupBy("lon", "lat", F.col("p_bucket").alias("bucket")).agg(F.count("*").alias("parcels"), (F.sum("p_area_km2") / math.pi / (km * km)).alias("coverage"))
 
 
+#: Sides of the cubes that cut the unit globe: each is cut into 64 at the next level, down to about 1.5 km.
+LEVELS = 7
+
+
+def _cube(lon: Column, lat: Column) -> Column:
+    """Cube of the finest level that a place is in."""
+    fine = 4 ** (LEVELS - 1)
+    x, y, z = _unit(lon, lat)
+    return F.struct(*[F.floor(c * fine).alias(a) for a, c in (("x", x), ("y", y), ("z", z))])
+
+
+def _unit(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
 def nearest(places: DataFrame, parcels_: DataFrame) -> DataFrame:
-    """Distance to the nearest parcel, 99 where there is none: rings of cells widen until every place is decided.
-
-    A distance found within a ring's width is final; the others go on with twice the width."""
-    found, open_, km = None, places, 2.0
-    while True:
-        last = km > 20_040  # half the earth's girth
-        if last:
-            done = open_.withColumn("km", F.lit(NOWHERE_KM))
-        else:
-            done = _near(open_, parcels_, km).groupBy("lon", "lat").agg(F.min(geo.haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).alias("km"))
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        open_ = open_.join(found, ["lon", "lat"], "left_anti")
-        if open_.isEmpty():
-            return found
-        km = 40_000.0 if km == 20_040 or parcels_.isEmpty() else min(km * 4, 20_040)
+    """Distance to the nearest parcel, 99 where there is none, for distinct places (lon, lat).
+
+    Cubes that hold parcels are searched from coarse to fine: a place starts with
+    the at most 27 coarsest ones and goes on, at each level, with the cubes inside those it
+    has that may hold its nearest parcel, that is, whose least distance is no more
+    than the smallest greatest distance. Both sides meet on the parent cube, and at
+    last on the finest cube, so a place meets only the parcels around its nearest."""
+    where = parcels_.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).distinct().withColumn("fine", _cube(F.col("p_lon"), F.col("p_lat")))
+    up = lambda cube, k: F.struct(*[F.floor(cube[a] / 4**k).alias(a) for a in "xyz"])
+    open_ = places.select("lon", "lat").withColumn("cube", F.explode(F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((F.floor(i / 9) - 1).alias("x"), (F.floor(i / 3) % 3 - 1).alias("y"), (i % 3 - 1).alias("z")))))
+    x, y, z = _unit(F.col("lon"), F.col("lat"))
+    for level in range(LEVELS):
+        k, side = LEVELS - 1 - level, 1 / 4**level
+        held = where.select(up(F.col("fine"), k).alias("inner")).distinct().withColumn("cube", up(F.col("inner"), 1) if level else F.col("inner"))
+        centre = lambda a, s=side: (F.col("inner")[a] + 0.5) * s
+        far = F.sqrt(F.pow(x - centre("x"), 2) + F.pow(y - centre("y"), 2) + F.pow(z - centre("z"), 2))
+        half = side * math.sqrt(3) / 2 + 1e-9
+        met = open_.join(held, "cube").select("lon", "lat", F.col("inner").alias("cube"), far.alias("far"))
+        own = Window.partitionBy("lon", "lat")  # a place has a few dozen cubes at most
+        open_ = met.withColumn("least", F.min("far").over(own)).where(F.col("far") <= F.col("least") + 2 * half).select("lon", "lat", "cube")
+    km = F.min(geo.haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")))
+    found = open_.join(where, F.col("cube") == F.col("fine")).groupBy("lon", "lat").agg(km.alias("km"))
+    return places.select("lon", "lat").join(found, ["lon", "lat"], "left").withColumn("km", F.coalesce("km", F.lit(NOWHERE_KM)))
 
 
 def office_scores(places: DataFrame, parcels_: DataFrame, lon0: float, lat0: float) -> DataFrame:

@@ -11,17 +11,17 @@ from evidentia.functions import text
 
 SNIPPET_CHARS = 400
 #: Finite verbs, one of which makes a line a sentence. Fixed values.
-FINITE_VERBS = """
-is are was were been has have had
-will would could should may might
-increase increased increases decrease decreased decreases rise rose rises fall fell falls grow grew grows decline declined declines
-remain remained remains continue continued continues expect expected expects project projected projects record recorded records
-reach reached reaches show showed shows indicate indicated indicates suggest suggested suggests reflect reflected reflects
-represent represented represents absorb absorbed absorbs lease leased leases complete completed completes deliver delivered delivers
-tighten tightened tightens ease eased eases expand expanded expands contract contracted contracts improve improved improves
-weaken weakened weakens exceed exceeded exceeds account accounted accounts underpin underpinned underpins
-constrain constrained constrains support supported supports drive driven drives total totalled totals
-""".split()
+FINITE_VERBS = (
+    "is", "are", "was", "were", "been", "has", "have", "had",
+    "will", "would", "could", "should", "may", "might",
+    "increase", "increased", "increases", "decrease", "decreased", "decreases", "rise", "rose", "rises", "fall", "fell", "falls", "grow", "grew", "grows", "decline", "declined", "declines",
+    "remain", "remained", "remains", "continue", "continued", "continues", "expect", "expected", "expects", "project", "projected", "projects", "record", "recorded", "records",
+    "reach", "reached", "reaches", "show", "showed", "shows", "indicate", "indicated", "indicates", "suggest", "suggested", "suggests", "reflect", "reflected", "reflects",
+    "represent", "represented", "represents", "absorb", "absorbed", "absorbs", "lease", "leased", "leases", "complete", "completed", "completes", "deliver", "delivered", "delivers",
+    "tighten", "tightened", "tightens", "ease", "eased", "eases", "expand", "expanded", "expands", "contract", "contracted", "contracts", "improve", "improved", "improves",
+    "weaken", "weakened", "weakens", "exceed", "exceeded", "exceeds", "account", "accounted", "accounts", "underpin", "underpinned", "underpins",
+    "constrain", "constrained", "constrains", "support", "supported", "supports", "drive", "driven", "drives", "total", "totalled", "totals",
+)
 
 
 def overlapping_chunks(documents: DataFrame, size: int = 2000, step: int = 1800) -> DataFrame:
@@ -31,13 +31,18 @@ def overlapping_chunks(documents: DataFrame, size: int = 2000, step: int = 1800)
     return rows.select("doc_id", "chunk", F.substring(F.col("text"), F.col("at") + 1, F.lit(size)).alias("text"))
 
 
+#: Ends of lines, and runs of blanks, as text editors know them.
+LINE_END = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
+BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
 def prose_lines(body: Column, least: int = 80) -> Column:
     """Prose and table lines of a page, joined to paragraphs; a blank or all-capital line ends one. Short pages give an empty text."""
     verbs = F.array(*map(F.lit, FINITE_VERBS))
 
     def kept(raw: Column) -> Column:
-        line = F.trim(raw)
-        words = F.split(line, r"\s+")
+        line = F.regexp_replace(raw, rf"\A{BLANKS}|{BLANKS}\z", "")
+        words = F.split(line, BLANKS)
         bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:()\[\]%$'"]+|[.,;:()\[\]%$'"]+$""", "")))
         table = (F.size(words) >= 4) & line.rlike(r"\d+\.\d+|\d+%|[1-9][\d,]{4,}") & line.rlike("[A-Za-z]{3,}")
         good = F.arrays_overlap(bare, verbs) | F.array_contains(bare, "the") | table
@@ -46,7 +51,7 @@ def prose_lines(body: Column, least: int = 80) -> Column:
             .when(line == F.upper(line), "\u0001").when(good, line)
         )
 
-    marks = F.array_compact(F.transform(F.split(body, "\n"), kept))
+    marks = F.array_compact(F.transform(F.split(body, LINE_END), kept))
     joined = F.array_join(marks, " ")
     parts = F.filter(F.transform(F.split(joined, "\u0001"), lambda p: F.trim(p)), lambda p: p != "")
     out = F.array_join(parts, "\n\n")
@@ -98,28 +103,44 @@ def within_budget(chunks: DataFrame, by: list[str], order: list[Column], size: s
     return chunks.withColumn("used", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("used") < budget)
 
 
+#: Claims up to this number are sent to the grams of documents as a whole (a few bytes each); beyond it both sides are exchanged.
+FEW_CLAIMS = 200_000
+
+
+def _at_grams(grams: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """``grams`` joined to ``heads`` on ``keys``; where heads are few, grams without one are not exchanged."""
+    some = heads.select(*keys).distinct().limit(FEW_CLAIMS + 1)
+    if some.count() <= FEW_CLAIMS:
+        grams = grams.join(F.broadcast(some), keys, "left_semi")
+    return grams.join(heads, keys)
+
+
 def contained_claims(claims: DataFrame, documents: DataFrame, words: int = 8) -> DataFrame:
     """item_id, doc_id: documents that hold a claim's text verbatim.
 
     Candidates share the claim's first inner words, those that stand between others: ``words`` - 1 of them, or all that
     a shorter claim has, found by an equi-join on their number and hash. Claims without inner words (two words and
-    fewer) may lie inside a word, so they are packed into blocks that every document is scanned against."""
+    fewer) may lie inside a word, so they meet documents on their first three characters (or all, if fewer). Grams that
+    no claim has are left out before the exchange. A claim without a character is in every text, and is left out."""
     toks = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     # the second word on: the first may be joined to what stands before it, the last to what comes after
     inner = F.least(F.size("w") - 2, F.lit(words - 1))
-    heads = claims.select("item_id", F.col("text").alias("claim"), toks(F.col("text")).alias("w")).where("text IS NOT NULL").withColumn("n", inner)
+    heads = claims.select("item_id", F.col("text").alias("claim"), toks(F.col("text")).alias("w")).where("length(text) > 0").withColumn("n", inner)
     long = heads.where("n > 0").select("item_id", "claim", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("h"))
     lengths = long.select("n").distinct()  # at most words - 1 rows
     d = documents.select("doc_id", toks(F.col("text")).alias("w")).where("text IS NOT NULL").join(F.broadcast(lengths), F.size("w") >= F.col("n"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " ")))
     grams = d.select("doc_id", "n", F.explode(F.array_distinct(grams)).alias("h"))
-    pairs = grams.join(long, ["n", "h"]).select("item_id", "claim", "doc_id").distinct()
-    held = pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("claim"))).select("item_id", "doc_id")
-
-    short = heads.where("n <= 0").groupBy(F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("block"), F.pmod(F.xxhash64("claim"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("item_id", "claim")).alias("claims"))
-    scanned = documents.where("text IS NOT NULL").select("doc_id", "text").crossJoin(short)
-    scanned = scanned.select("doc_id", F.explode(F.filter("claims", lambda c: F.col("text").contains(c["claim"]))).alias("c")).select("c.item_id", "doc_id")
-    return held.unionByName(scanned)
+    pairs = _at_grams(grams, long, ["n", "h"]).select("item_id", "claim", "doc_id")
+
+    short = heads.where("n <= 0").select("item_id", "claim", F.least(F.length("claim"), F.lit(3)).alias("n"))
+    short = short.withColumn("h", F.substring(F.col("claim"), F.lit(1), F.col("n")))
+    sizes = short.select("n").distinct()  # at most three rows
+    c = documents.where("text IS NOT NULL").select("doc_id", F.split("text", "").alias("c")).join(F.broadcast(sizes), F.size("c") >= F.col("n"))
+    parts = F.transform(F.sequence(F.lit(0), F.size("c") - F.col("n")), lambda i: F.concat(F.get("c", i), F.when(F.col("n") > 1, F.get("c", i + 1)).otherwise(""), F.when(F.col("n") > 2, F.get("c", i + 2)).otherwise("")))
+    parts = c.select("doc_id", "n", F.explode(F.array_distinct(parts)).alias("h"))
+    pairs = pairs.unionByName(_at_grams(parts, short, ["n", "h"]).select("item_id", "claim", "doc_id")).distinct()
+    return pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("claim"))).select("item_id", "doc_id")
 
 
 def citation_status(overlap: Column) -> Column:

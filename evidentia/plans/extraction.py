@@ -31,16 +31,6 @@ def median_psf(spark, sf):
     return r.where(F.col("k") == F.expr("n div 2 + 1")).select("source", F.round(F.col("asking_rent") / num.SF_PER_SQM, 4).alias("median_psf"))
 
 
-@query("q_src23_connectors", "SELECT 'b' AS name, 0 AS ord UNION ALL SELECT 'a', 1")
-def connectors(spark, sf):
-    from evidentia.sources import connectors as c
-
-    for name, market, kinds in (("a", "", {"sales"}), ("b", "sg", {"sales", "land"}), ("c", "kr", {"sales"})):
-        c.register(c.Connector(name, market, frozenset(kinds), lambda: None))
-    found = c.available("sg", "sales", ["b", "c", "a"])
-    return spark.createDataFrame([(x.name, i) for i, x in enumerate(found)], "name string, ord int")
-
-
 @query("q_src25_src26_corpus", "SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, length(text[1:24000]) AS n FROM documents UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), length(text[1:24000]) FROM benchmark")
 def corpus(spark, sf):
     take = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.length(F.substring("text", 1, 24000)).cast("long").alias("n"))

@@ -133,14 +133,6 @@ def records_json(spark, sf):
     return read_records(e.select(F.to_json(F.struct("event_id", "event_type", F.from_json("props", "k int").alias("props"))).alias("value")), "event_id long, event_type string, props struct<k:int>").select("event_id", "event_type", F.col("props.k").alias("k"))
 
 
-@query("q_src29_lease_table_text", "SELECT CAST(y AS INTEGER) AS years, CAST(y AS DOUBLE) / 100 AS factor FROM range(1, 100) t(y)")
-def lease_text(spark, sf):
-    from evidentia.sources.connectors import parse_lease_table
-
-    text = " ".join(f"{n} {n}.0" for n in range(1, 100)) + " 100 99.5"
-    return parse_lease_table(spark.createDataFrame([(text,)], "text string"))
-
-
 _BLOCKS = f"b AS (SELECT *, CAST(sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY row) AS BIGINT) AS block FROM grid WHERE {_FILLED} > 1)"
 
 

@@ -29,6 +29,11 @@ def around(own: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((own["x"] + F.floor(i / 9) - 1).alias("x"), (own["y"] + F.floor(i / 3) % 3 - 1).alias("y"), (own["z"] + i % 3 - 1).alias("z")))
 
 
+def ahead(own: Column) -> Column:
+    """Array of a cube and the 13 of its neighbours that follow it in order: of two adjoining cubes one is ahead of the other."""
+    return F.slice(around(own), 14, 14)
+
+
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Mean of a ring's vertices (struct x, y)."""
     mean = lambda axis: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(ring)

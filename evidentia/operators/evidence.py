@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import geo, lease, num, text
+from evidentia.operators.staging import staged
 
 TOTALS = r"(?i)\b(total|average|avg|summary|subtotal)\b"
 NOT_GEOCODED = 9999.0
@@ -73,22 +74,25 @@ def near_pairs(records: DataFrame, km: float) -> DataFrame:
 
 
 def named_alike(records: DataFrame, km: float, overlap: float) -> DataFrame:
-    """a.*, b.* pairs (a.pos < b.pos) of different sources with prices, within km and with names that overlap by at least so much.
+    """a, b (structs of the records' columns, a.pos < b.pos): pairs of different sources with prices, within km and with names that overlap by at least so much.
 
     Names are split once a record. Token sets that overlap so much share one of the
     first tokens of each (of n, all but ``ceil(overlap * n) - 1``, in an order by
     hash), so pairs meet on a cell and such a token, not on a cell alone."""
     named = records.where("lon IS NOT NULL AND lat IS NOT NULL AND price_m > 0").withColumn("_t", F.array_sort(F.array_distinct(F.transform(text.tokens(F.col("property_name")), lambda t: F.xxhash64(t)))))
     kept = F.size("_t") - F.ceil(F.size("_t") * (overlap - 1e-9)).cast("int") + 1
-    placed = named.where(F.size("_t") > 0).withColumn("_c", geo.cell(F.col("lon"), F.col("lat"), km)).withColumn("_k", F.explode(F.slice("_t", F.lit(1), kept)))
-    a = placed.alias("a")
-    b = placed.withColumn("_n", F.explode(geo.around(F.col("_c")))).alias("b")
-    alike = (F.col("a._c") == F.col("b._n")) & (F.col("a._k") == F.col("b._k")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.source") != F.col("b.source"))
+    row = F.struct(*records.columns)
+    placed = named.where(F.size("_t") > 0).select(row.alias("r"), "_t", geo.cell(F.col("lon"), F.col("lat"), km).alias("_c"), F.explode(F.slice("_t", F.lit(1), kept)).alias("_k"))
+    x, y = placed.alias("x"), placed.withColumn("_n", F.explode(geo.ahead(F.col("_c")))).alias("y")  # of a cube and its neighbour one looks at the other
+    met = (F.col("x._c") == F.col("y._n")) & (F.col("x._k") == F.col("y._k")) & (F.col("x.r.source") != F.col("y.r.source"))
+    once = (F.col("x._c") != F.col("y._c")) | (F.col("x.r.pos") < F.col("y.r.pos"))
     # of the tokens that both would meet on, the smallest one counts, so that a pair is met once
-    common = F.array_intersect("a._t", "b._t")
-    share = F.size(common) / F.size(F.array_union("a._t", "b._t")) >= overlap
-    near = geo.haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= km
-    return a.join(b, alike).where((F.get(common, F.lit(0)) == F.col("a._k")) & share & near)
+    common = F.array_intersect("x._t", "y._t")
+    share = F.size(common) / F.size(F.array_union("x._t", "y._t")) >= overlap
+    near = geo.haversine_km(F.col("x.r.lon"), F.col("x.r.lat"), F.col("y.r.lon"), F.col("y.r.lat")) <= km
+    pairs = x.join(y, met).where(once & (F.get(common, F.lit(0)) == F.col("x._k")) & share & near)
+    first = F.col("x.r.pos") < F.col("y.r.pos")
+    return pairs.select(F.when(first, F.col("x.r")).otherwise(F.col("y.r")).alias("a"), F.when(first, F.col("y.r")).otherwise(F.col("x.r")).alias("b"))
 
 
 def conflict_flags(records: DataFrame, km: float = 0.1, tolerance: float = 0.03, overlap: float = 0.9) -> DataFrame:
@@ -119,24 +123,22 @@ def first_by_key(records: DataFrame, key: Column) -> DataFrame:
 
 
 def leader_groups(edges: DataFrame) -> DataFrame:
-    """leader of every record in a group: records in order of pos, a member joins the first leader that reaches it, and a member never leads.
+    """pos and leader of every record in a group: records in order of pos, a member joins the first leader that reaches it, and a member never leads.
 
     ``edges`` (a, b) with a < b. Solved in rounds: a record leads as soon as every
     smaller neighbour is known to be a member, and is a member as soon as one
     smaller neighbour leads, so that each round is a join, not a fold in one task."""
-    from evidentia.operators.staging import staged
-
     undecided = staged(edges.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "nodes")
     leaders, members = None, None
     edges = staged(edges.select("a", "b").distinct(), "edges")
     while not undecided.isEmpty():
         waiting = edges.join(undecided.select(F.col("n").alias("a")), "a", "left_semi").select("b").distinct()
         now = undecided.join(waiting, undecided["n"] == waiting["b"], "left_anti")
-        leaders = now if leaders is None else leaders.unionByName(now)
+        all_leaders = now if leaders is None else leaders.unionByName(now)
         taken = edges.join(now.select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n")).distinct()
-        members = taken if members is None else members.unionByName(taken)
-        leaders, members = staged(leaders, "leaders"), staged(members.distinct(), "members")
-        undecided = staged(undecided.join(leaders, "n", "left_anti").join(members, "n", "left_anti"), "nodes")
+        all_members = taken if members is None else members.unionByName(taken)
+        leaders, members = staged(all_leaders, "leaders", leaders), staged(all_members.distinct(), "members", members)
+        undecided = staged(undecided.join(leaders, "n", "left_anti").join(members, "n", "left_anti"), "nodes", undecided)
     if leaders is None:
         return edges.select(F.col("b").alias("pos"), F.col("a").alias("leader")).limit(0)
     led = edges.join(leaders.select(F.col("n").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("leader"))

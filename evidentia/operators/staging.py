@@ -19,8 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/round-{name}-{uuid.uuid4().hex}"
+def staged(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back; then the staged table that it ``replaces`` is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if old := getattr(replaces, "staged_at", None):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from evidentia.plans import register
-from evidentia.plans import acquisition, briefs, scalars, refinement, evidence, retrieval, extraction, grids, reports, rules, sheets, streams, workflows  # noqa: F401  (they register queries)
+from evidentia.plans import acquisition, briefs, review, scalars, refinement, evidence, retrieval, extraction, grids, reports, rules, sheets, streams, workflows  # noqa: F401  (they register queries)
 
 FLAGSHIP = "q_sales_table"
 

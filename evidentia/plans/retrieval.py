@@ -119,12 +119,6 @@ def snippet(spark, sf):
     return rt.snippets(pairs.join(bench.select("item_id", F.col("text").alias("claim")), "item_id").join(docs.select("doc_id", "text"), "doc_id"))
 
 
-@query("q_flt19_prose_filter")
-def prose(spark, sf):
-    kept = rt.prose_lines(F.col("text"))
-    return _docs(spark, sf).select("doc_id", F.length(kept).alias("n_chars"), F.md5(kept).alias("digest"))
-
-
 @query("q_txt13_statuses", "SELECT doc_id, CASE WHEN quality >= 0.5 THEN 'supported' WHEN quality >= 0.3 THEN 'moderate' ELSE 'low' END AS status FROM labels")
 def statuses(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", rt.citation_status(F.col("quality")).alias("status"))

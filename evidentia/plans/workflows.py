@@ -144,13 +144,29 @@ def fixed_names(spark, sf):
 _VERBS_SQL = "[" + ", ".join(f"'{v}'" for v in rt.FINITE_VERBS) + "]"
 
 
+#: Lines (key, k, line) of a text to kinds, as the prose rules have it.
+_KINDS_SQL = rf"""w AS (SELECT *, string_split_regex(line, '\s+') AS w FROM p),
+t AS (SELECT * EXCLUDE (w), CASE WHEN line = '' THEN 'break' WHEN len(w) < 3 THEN 'drop' WHEN starts_with(line, '©') OR regexp_matches(lower(line), '^(source|note):') THEN 'drop' WHEN line = upper(line) THEN 'break'
+  WHEN list_has_any(list_transform(w, lambda x: lower(trim(x, '.,;:()[]%$''"'))), list_concat({_VERBS_SQL}, ['the'])) THEN 'keep' WHEN len(w) >= 4 AND regexp_matches(line, '\d+\.\d+|\d+%|[1-9][\d,]{{4,}}') AND regexp_matches(line, '[A-Za-z]{{3,}}') THEN 'keep' ELSE 'drop' END AS kind FROM w)"""
+
+
+@query(
+    "q_flt19_prose_filter",
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k, trim(raw) AS line FROM documents WHERE text IS NOT NULL), {_KINDS_SQL},
+b AS (SELECT doc_id, k, line, kind, count(*) FILTER (kind = 'break') OVER (PARTITION BY doc_id ORDER BY k) AS para FROM t), g AS (SELECT doc_id, para, string_agg(line, ' ' ORDER BY k) AS txt FROM b WHERE kind = 'keep' GROUP BY ALL),
+c AS (SELECT doc_id, string_agg(txt, chr(10) || chr(10) ORDER BY para) AS txt FROM g GROUP BY doc_id), f AS (SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(txt) >= 80 THEN txt ELSE '' END AS kept FROM documents d LEFT JOIN c USING (doc_id))
+SELECT doc_id, length(kept) AS n_chars, md5(kept) AS digest FROM f""",
+)
+def prose(spark, sf):
+    kept = rt.prose_lines(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.length(kept).cast("long").alias("n_chars"), F.md5(kept).alias("digest"))
+
+
 @query(
     "q_src25_page_chunks",
     rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, k, CAST(1 + k // 3 AS INTEGER) AS page, trim(regexp_replace(line, '[\x{{3000}}-\x{{303f}}\x{{3400}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}]+', ' ', 'g')) AS line FROM l),
-w AS (SELECT *, string_split_regex(line, '\s+') AS w FROM p),
-t AS (SELECT doc_id, k, page, line, CASE WHEN line = '' THEN 'break' WHEN len(w) < 3 THEN 'drop' WHEN starts_with(line, '©') OR regexp_matches(lower(line), '^(source|note):') THEN 'drop' WHEN line = upper(line) THEN 'break'
-  WHEN list_has_any(list_transform(w, lambda x: lower(trim(x, '.,;:()[]%$''"'))), list_concat({_VERBS_SQL}, ['the'])) THEN 'keep' WHEN len(w) >= 4 AND regexp_matches(line, '\d+\.\d+|\d+%|[1-9][\d,]{{4,}}') AND regexp_matches(line, '[A-Za-z]{{3,}}') THEN 'keep' ELSE 'drop' END AS kind FROM w),
+{_KINDS_SQL},
 b AS (SELECT doc_id, page, k, line, kind, count(*) FILTER (kind = 'break') OVER (PARTITION BY doc_id, page ORDER BY k) AS para FROM t),
 g AS (SELECT doc_id, page, para, string_agg(line, ' ' ORDER BY k) AS txt FROM b WHERE kind = 'keep' GROUP BY ALL), c AS (SELECT doc_id, page, string_agg(txt, chr(10) || chr(10) ORDER BY para) AS txt FROM g GROUP BY ALL)
 SELECT doc_id, page, length(txt) AS n_chars, md5(txt) AS digest FROM c WHERE length(txt) >= 80""",

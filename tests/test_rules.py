@@ -137,3 +137,33 @@ def test_dedup_within_a_document(spark):
     assert set(kept.columns) >= {"doc", "pos"} and kept.count() <= len(rows)
     again = ex.dedup_within_document(kept.select(*df.columns))  # what is kept has no duplicates left
     assert {tuple(r) for r in again.select("doc", "pos").collect()} <= {tuple(r) for r in kept.select("doc", "pos").collect()}
+
+
+def fold_by_hand(rows):
+    """Records of one document in order of pos: what each one does to those kept before it."""
+    key = lambda r: "".join((r["name"] or "").lower().split())
+    kept = []
+    for r in sorted((dict(x) for x in rows), key=lambda r: r["pos"]):
+        def same(k, r=r):
+            a, b = key(k), key(r)
+            return b != "" and (a == b or (len(a) >= 8 and len(b) >= 8 and a[:15] == b[:15] and r["price"] is not None and k["price"] == r["price"]))
+
+        at = next((i for i, k in enumerate(kept) if same(k)), None)
+        if at is None:
+            kept.append(r)
+        elif kept[at]["table_id"] == r["table_id"]:
+            kept[at] |= {f: r[f] for f in ("price", "area") if kept[at][f] is None}
+        elif kept[at]["price"] is None and r["price"] is not None:
+            kept[at] = r
+    return kept
+
+
+def test_duplicates_in_a_document_are_folded_in_order(spark):
+    rng = random.Random(8)
+    names = ["Harbour Tower One", "harbour  tower one", "Harbour Tower Onward", "Harbour Tower Online", "Short", "short ", "", None, "Orchid Plaza West", "Orchid Plaza Wes t"]
+    rows = [{"doc": str(i // 40), "table_id": rng.randrange(3), "pos": i, "name": rng.choice(names), "price": rng.choice([None, 1.0, 2.0]), "area": rng.choice([None, 5.0, 6.0])} for i in rng.sample(range(400), 400)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc string, table_id int, pos long, name string, price double, area double")
+    clean = lambda v: None if isinstance(v, float) and v != v else v
+    got = sorted((tuple(map(clean, r)) for r in ex.dedup_within_document(df).collect()), key=lambda r: r[2])
+    want = sorted((tuple(k.values()) for d in {r["doc"] for r in rows} for k in fold_by_hand([r for r in rows if r["doc"] == d])), key=lambda r: r[2])
+    assert got == want

@@ -127,10 +127,11 @@ def contained_claims(claims: DataFrame, documents: DataFrame, words: int = 8) ->
     # the second word on: the first may be joined to what stands before it, the last to what comes after
     inner = F.least(F.size("w") - 2, F.lit(words - 1))
     heads = claims.select("item_id", F.col("text").alias("claim"), toks(F.col("text")).alias("w")).where("length(text) > 0").withColumn("n", inner)
-    long = heads.where("n > 0").select("item_id", "claim", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("h"))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    long = heads.where("n > 0").select("item_id", "claim", "n", F.xxhash64(hashed(F.slice("w", F.lit(2), F.col("n")))).alias("h"))
     lengths = long.select("n").distinct()  # at most words - 1 rows
-    d = documents.select("doc_id", toks(F.col("text")).alias("w")).where("text IS NOT NULL").join(F.broadcast(lengths), F.size("w") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " ")))
+    d = documents.where("text IS NOT NULL").select("doc_id", hashed(toks(F.col("text"))).alias("w")).join(F.broadcast(lengths), F.size("w") >= F.col("n"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))
     grams = d.select("doc_id", "n", F.explode(F.array_distinct(grams)).alias("h"))
     pairs = _at_grams(grams, long, ["n", "h"]).select("item_id", "claim", "doc_id")
 

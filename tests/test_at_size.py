@@ -17,3 +17,28 @@ def test_lease_tables_need_no_join(spark):
     assert "Join" not in plan(rows) and "Join" not in plan(verdicts)
     assert sorted(map(tuple, verdicts.collect())) == [(1, 99, "ok"), (2, 99, "ok"), (3, 99, "checkpoint"), (4, 99, "ok"), (5, 0, "too few rows"), (6, 0, "too few rows")]
     assert sorted(map(tuple, rows.groupBy("report").agg(F.count("*"), F.max(F.when(F.col("years") == 30, F.col("percent")))).collect())) == [(1, 99, 60.0), (2, 99, 60.0), (4, 99, 60.0)]
+
+
+def crowd(spark, n=60):
+    """Deals of three sources under two names at neighbouring places, with prices that lie close together."""
+    rows = [(i, f"s{i * 7 % 3}", ("Alpha Tower One", "Beta Court")[i % 4 == 0], 100 * 1.03 ** (i * 11 % 9) * (1 + (i % 3) * 1e-16), 103.8 + (i % 2) * 1e-5, 1.3) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None, "Alpha Tower One", 5.0, 103.8, 1.3)], "pos long, source string, property_name string, price_m double, lon double, lat double"), rows
+
+
+def test_conflicts_and_merges_form_no_pairs_of_a_crowd(spark):
+    from evidentia.operators import evidence as ev
+
+    df, rows = crowd(spark)
+    close = lambda a, b: abs(a[3] - b[3]) <= 0.03 * max(a[3], b[3])
+    pairs = [(a, b) for a in rows for b in rows if a[1] != b[1] and a[2] == b[2]]
+    want = {}
+    for a, b in pairs:
+        if not close(a, b):
+            want[a[0]] = max(want.get(a[0], (-1, "")), (b[0], b[1]))
+    found = ev.conflict_flags(df)
+    assert {r.pos: (r.conflicts_with, r.conflict_source) for r in found.collect()} == want
+    merged = ev.priced_alike(df, 0.1, 0.9, 0.03)
+    assert sorted(map(tuple, merged.collect())) == sorted((a[0], b[0]) for a, b in pairs if a[0] < b[0] and close(a, b))
+    # records meet links between classes only, and the pairs to be merged meet by price too
+    joins = [line for line in plan(found).splitlines() if "Join" in line]
+    assert all("pos#" not in line for line in joins) and "step#" in plan(merged)

@@ -42,3 +42,16 @@ def test_conflicts_and_merges_form_no_pairs_of_a_crowd(spark):
     # records meet links between classes only, and the pairs to be merged meet by price too
     joins = [line for line in plan(found).splitlines() if "Join" in line]
     assert all("pos#" not in line for line in joins) and "step#" in plan(merged)
+
+
+def test_garbage_names_of_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from evidentia.plans import catalog
+
+    texts = [None, "", "éis x", "iſ x", "iſa x", "cut of ", "one of\u0085", "a\x0bb c. d.", "a b c d.", "wasé", "中has中", "x THE", "the", "x of\n", "a b c d.", " . . . ."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {r.doc_id: r.garbage for r in catalog.queries()["q_str12_flt5_garbage"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(catalog.oracle_sql()["q_str12_flt5_garbage"]).fetchall())

@@ -55,3 +55,16 @@ def test_garbage_names_of_odd_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = {r.doc_id: r.garbage for r in catalog.queries()["q_str12_flt5_garbage"](spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(catalog.oracle_sql()["q_str12_flt5_garbage"]).fetchall())
+
+
+def test_same_building_forms_no_pairs_of_a_crowd(spark):
+    from evidentia.operators import evidence as ev
+
+    prices = [100 * 0.95 ** (k / 2) for k in range(-6, 7)] + [95.0, 100.0, 100 / 0.95]
+    rows = [(i, 103.8 + (i % 2) * 1e-4, 1.3, prices[i * 7 % 16]) for i in range(100)]
+    df = spark.createDataFrame([*rows, (200, None, 1.3, 5.0), (201, 103.8, 1.3, None)], "pos long, lon double, lat double, price_m double")
+    want = {b[0]: min(a[0] for a in rows if abs(a[3] - b[3]) <= 0.05 * max(a[3], b[3])) for b in rows if b[0] % 3 == 0}
+    found = ev.same_building(df, df.where("pos % 3 = 0"))
+    assert {r.pos: r.same_as for r in found.collect()} == {p: r for p, r in want.items() if r < p}
+    joins = [line for line in plan(found).splitlines() if "Join" in line]
+    assert joins and all("price_m#" not in line and "pos#" not in line for line in joins)

@@ -107,15 +107,16 @@ def policy(provided: Column, comp_sector: Column, subject_sector: str, lon: Colu
 
 
 def land_use_at(records: DataFrame, rings: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Land use of the first ring (by ord) that holds a record's point, else empty: boxes by grid cell, then ray casting."""
+    """Land use of the first ring (by ord) that holds a record's point, else empty: boxes by grid cell, then ray casting, once for each place."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     r = rings.select("ord", F.col("land_use").alias("_use"), "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     r = r.withColumn("_rx", F.explode(span("x0", "x1"))).withColumn("_ry", F.explode(span("y0", "y1")))
     at = records.withColumn("_x", F.col("lon").cast("double")).withColumn("_y", F.col("lat").cast("double"))
     on = (F.floor(F.col("_x") / cell) == F.col("_rx")) & (F.floor(F.col("_y") / cell) == F.col("_ry")) & F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1"))
-    hits = at.select("pos", "_x", "_y").join(r, on).where(geo.in_ring(F.col("_x"), F.col("_y"), F.col("ring"))).groupBy("pos").agg(F.min_by("_use", "ord").alias("land_use"))
-    return records.join(hits, "pos", "left").withColumn("land_use", F.coalesce("land_use", F.lit("")))
+    places = at.select("_x", "_y").where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    hits = places.join(r, on).where(geo.in_ring(F.col("_x"), F.col("_y"), F.col("ring"))).groupBy("_x", "_y").agg(F.min_by("_use", "ord").alias("land_use"))
+    return at.join(hits, ["_x", "_y"], "left").select(*records.columns, F.coalesce("land_use", F.lit("")).alias("land_use"))
 
 
 def first_in_order(records: DataFrame, by: str) -> DataFrame:

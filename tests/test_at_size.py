@@ -68,3 +68,14 @@ def test_same_building_forms_no_pairs_of_a_crowd(spark):
     assert {r.pos: r.same_as for r in found.collect()} == {p: r for p, r in want.items() if r < p}
     joins = [line for line in plan(found).splitlines() if "Join" in line]
     assert joins and all("price_m#" not in line and "pos#" not in line for line in joins)
+
+
+def test_land_use_looks_at_a_place_once(spark):
+    from evidentia.operators import location
+
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rings = spark.createDataFrame([(2, "b", ring), (1, "a", [(x / 2, y / 2) for x, y in ring])], "ord int, land_use string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 0.25, 0.25), (2, 0.25, 0.25), (3, 0.75, 0.75), (4, 2.0, 2.0), (5, None, 0.25)], "pos int, lon double, lat double")
+    found = location.land_use_at(points, rings)
+    assert found.columns == ["pos", "lon", "lat", "land_use"] and {r.pos: r.land_use for r in found.collect()} == {1: "a", 2: "a", 3: "b", 4: "", 5: ""}
+    assert not [line for line in plan(found).splitlines() if "Join" in line and "pos#" in line] and "Aggregate [_x#" in plan(found)

@@ -93,9 +93,12 @@ def available_connectors(deals: DataFrame, connectors: DataFrame) -> DataFrame:
 
     ``deals`` (deal, market, comp_type, enabled: array of names), ``connectors`` (name, market, comp_types: array): one of
     no market serves all; a name that is enabled twice counts once, where it first stands."""
-    asked = deals.select("deal", F.col("market").alias("in_market"), "comp_type", F.posexplode("enabled").alias("ord", "name")).groupBy("deal", "in_market", "comp_type", "name").agg(F.min("ord").alias("ord"))
+    once = F.transform(F.array_distinct("enabled"), lambda n: F.struct(n.alias("name"), (F.array_position(F.col("enabled"), n) - 1).cast("int").alias("ord")))
+    named = deals.select("deal", F.col("market").alias("in_market"), "comp_type", F.explode(once).alias("e")).select("deal", "in_market", "comp_type", "e.*")
     fits = ((F.col("market") == "") | (F.col("market") == F.col("in_market"))) & F.array_contains("comp_types", F.col("comp_type"))
-    return asked.join(connectors, "name").where(fits).select("deal", "name", "ord")
+    # names are counted once in a deal's row, and over rows of one deal among those that fit only, which are few
+    fit = named.join(connectors.withColumn("_id", F.monotonically_increasing_id()), "name").where(fits)
+    return fit.groupBy("deal", "in_market", "comp_type", "name", "_id").agg(F.min("ord").alias("ord")).select("deal", "name", "ord")
 
 
 #: Percentages that a lease table must give, and the least number of its rows. Fixed values.

@@ -93,8 +93,10 @@ def connectors(spark, sf):
     c = n.select(F.col("n_name").alias("name"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).alias("market"), F.when(key % 2 == 0, F.array(F.lit("sales"), F.lit("rent"))).otherwise(F.array(F.lit("sales"))).alias("comp_types"))
     o = F.col("o_orderkey")
     keys = F.array(o % 25, o * 7 % 25, o % 25, (o + 3) % 25, F.lit(99).cast("long"))
-    d = spark.read.parquet(f"{sf}/orders.parquet").select(o.alias("deal"), F.concat(F.lit("R"), (F.col("o_custkey") % 5).cast("string")).alias("market"), F.when(F.col("o_orderstatus") == "F", "sales").when(F.col("o_orderstatus") == "O", "rent").otherwise("land").alias("comp_type"), F.posexplode(keys).alias("i", "n_nationkey"))
-    named = d.join(n.select("n_nationkey", "n_name"), "n_nationkey", "left").groupBy("deal", "market", "comp_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n_name", F.lit("unknown")).alias("n")))), lambda x: x["n"]).alias("enabled"))
+    d = spark.read.parquet(f"{sf}/orders.parquet").select(o.alias("deal"), F.concat(F.lit("R"), (F.col("o_custkey") % 5).cast("string")).alias("market"), F.when(F.col("o_orderstatus") == "F", "sales").when(F.col("o_orderstatus") == "O", "rent").otherwise("land").alias("comp_type"), keys.alias("keys"))
+    # the nations are one row, a map of their names, and a deal's keys are named in its row
+    known = n.where(key.isNotNull()).agg(F.map_from_entries(F.collect_set(F.struct(key.cast("long"), "n_name"))).alias("known"))
+    named = d.crossJoin(F.broadcast(known)).select("deal", "market", "comp_type", F.transform("keys", lambda k: F.coalesce(F.try_element_at("known", k), F.lit("unknown"))).alias("enabled"))
     return br.available_connectors(named, c)
 
 

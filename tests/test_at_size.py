@@ -79,3 +79,14 @@ def test_land_use_looks_at_a_place_once(spark):
     found = location.land_use_at(points, rings)
     assert found.columns == ["pos", "lon", "lat", "land_use"] and {r.pos: r.land_use for r in found.collect()} == {1: "a", 2: "a", 3: "b", 4: "", 5: ""}
     assert not [line for line in plan(found).splitlines() if "Join" in line and "pos#" in line] and "Aggregate [_x#" in plan(found)
+
+
+def test_connectors_of_a_deal_in_its_row(spark, tmp_path):
+    from evidentia.operators import briefs as br
+    from evidentia.plans import catalog
+    from tests.conftest import SF
+
+    deals = spark.createDataFrame([(1, "R1", "sales", ["b", "a", "b", None, "x"]), (1, "R1", "sales", ["a"]), (2, "R2", "rent", ["a", "b"]), (3, "R1", "sales", None)], "deal long, market string, comp_type string, enabled array<string>")
+    known = spark.createDataFrame([("a", "R1", ["sales"]), ("b", "", ["sales", "rent"]), ("b", "", ["sales", "rent"])], "name string, market string, comp_types array<string>")
+    assert sorted(map(tuple, br.available_connectors(deals, known).collect())) == [(1, "a", 0), (1, "b", 0), (1, "b", 0), (2, "b", 1), (2, "b", 1)]
+    assert "collect_list" not in plan(catalog.queries()["q_src23_connectors"](spark, SF))

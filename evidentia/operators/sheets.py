@@ -199,12 +199,16 @@ def params_sheet(params: DataFrame) -> DataFrame:
 
 
 def lease_sheet(deals: DataFrame) -> DataFrame:
-    """Cells of the lease-table sheet of each deal: header, 99 years with their factors, source note."""
+    """Cells of the lease-table sheet of each deal: header, 99 years with their factors, source note.
+
+    The sheet is one small table for all deals, sent to them, not an array built again in each deal's row."""
     table = lease.factor_rows()
-    cells = [_cell(F.lit(1), 1, F.lit("Years")), _cell(F.lit(1), 2, F.lit("Factor (decimal)"))]
-    years = F.transform(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(f).alias("f")) for y, f in table]), lambda x: F.array(_cell(x["y"] + 1, 1, None, x["y"]), _cell(x["y"] + 1, 2, None, F.round(x["f"], 5))))
-    every = F.concat(F.array(*cells), F.flatten(years), F.array(_cell(F.lit(len(table) + 3), 1, F.lit(LEASE_NOTE))))
-    return deals.select("deal", F.lit(LEASE_TABLE).alias("sheet"), F.explode(every).alias("c")).select("deal", "sheet", "c.*")
+    cells = [(1, 1, "Years", None), (1, 2, "Factor (decimal)", None), (len(table) + 3, 1, LEASE_NOTE, None)]
+    for y, f in table:
+        cells += [(y + 1, 1, None, float(y)), (y + 1, 2, None, f)]
+    sheet = deals.sparkSession.createDataFrame(cells, "row int, col int, shown string, number double")
+    sheet = sheet.select("row", "col", "shown", F.when(F.col("col") == 2, F.round("number", 5)).otherwise(F.col("number")).alias("number"), F.lit(None).cast("string").alias("formula"))
+    return deals.select("deal", F.lit(LEASE_TABLE).alias("sheet")).crossJoin(F.broadcast(sheet))
 
 
 def workbook(records: DataFrame, params: DataFrame, layout: Layout) -> DataFrame:

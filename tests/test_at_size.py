@@ -90,3 +90,11 @@ def test_connectors_of_a_deal_in_its_row(spark, tmp_path):
     known = spark.createDataFrame([("a", "R1", ["sales"]), ("b", "", ["sales", "rent"]), ("b", "", ["sales", "rent"])], "name string, market string, comp_types array<string>")
     assert sorted(map(tuple, br.available_connectors(deals, known).collect())) == [(1, "a", 0), (1, "b", 0), (1, "b", 0), (2, "b", 1), (2, "b", 1)]
     assert "collect_list" not in plan(catalog.queries()["q_src23_connectors"](spark, SF))
+
+
+def test_lease_sheet_is_one_table(spark):
+    from evidentia.operators import sheets
+
+    found = sheets.lease_sheet(spark.createDataFrame([(7,), (8,)], "deal long"))
+    assert "Generate" not in plan(found)
+    assert found.count() == 2 * 201 and found.where("deal = 7 AND row = 102").first().shown == sheets.LEASE_NOTE

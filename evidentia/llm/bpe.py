@@ -13,9 +13,10 @@ agree (say one pre-token of many thousand characters) is encoded in one piece.
 Decoding concatenates the tokens' raw bytes.
 
 Scale: a text of one chunk is encoded where it is read, without a shuffle; only
-long texts are dealt out again, chunk by chunk. Memory holds one batch of texts
-(``spark.sql.execution.arrow.maxRecordsPerBatch`` is not relied on: batches are
-worked off text by text).
+long texts are dealt out again, chunk by chunk. Memory holds one Arrow batch of
+texts (``spark.sql.execution.arrow.maxRecordsPerBatch`` is not relied on): its
+texts become strings one at a time, and what is made of them leaves the task
+``SLICES`` rows at a time.
 
 Defined cases: null counts as empty and has no ids; control strings are ordinary
 text; repeated rows give repeated results; an empty table gives an empty result;
@@ -29,8 +30,9 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,9 @@ from evidentia.llm import scratch
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK = 16384
 OVERLAP = 1024
-#: Chunks of a text that leave the cutter together.
+#: Chunks and ids that leave a task together.
 SLICES = 64
+STRETCH = 65536
 MARGIN = 8
 
 
@@ -83,50 +86,72 @@ def codec(path: str) -> Codec:
 
 
 def _digest(c: Codec, ids) -> tuple[int, str, str]:
-    text = " ".join(map(c.decimal.__getitem__, ids))
-    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+    """Number of ids and digests of their decimals and bytes, ``STRETCH`` ids at a time."""
+    decimals, raw = hashlib.sha256(), hashlib.sha256()
+    for at in range(0, len(ids), STRETCH):
+        some = ids[at : at + STRETCH]
+        some = some if isinstance(some, list) else some.tolist()
+        decimals.update((" " * (at > 0) + " ".join(map(c.decimal.__getitem__, some))).encode())
+        raw.update(c.decode(some))
+    return len(ids), decimals.hexdigest(), raw.hexdigest()
 
 
-def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in pieces of ``SLICES`` rows; memory that this worker's earlier tasks have freed goes back first."""
+    scratch.release()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICES):
+            yield batch.slice(at, SLICES)
+
+
+def _without(batch: pa.RecordBatch, dropped: str | None, **more: pa.Array) -> pa.RecordBatch:
+    """``batch`` less one column, with ``more`` at its end."""
+    names = [c for c in batch.schema.names if c != dropped]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more.values()], [*names, *more])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their overlaps, each sliced once, ``SLICES`` at a time."""
-    for part in parts:
-        for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+    for part in _slices(batches):
+        for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
+            doc_id, text = doc_id.as_py(), text.as_py()
             key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
             last = -(-(len(text) - OVERLAP) // CHUNK) - 1
             for k in range(0, last + 1, SLICES):
                 ks = range(k, min(k + SLICES, last + 1))
-                chunks = [text[i * CHUNK : (i + 1) * CHUNK + OVERLAP] for i in ks]
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)] * len(ks), "Int64"), "key": key, "k": list(ks), "last": last, "chunk": chunks})
+                n, chunks = len(ks), [text[i * CHUNK : (i + 1) * CHUNK + OVERLAP] for i in ks]
+                columns = pa.array([doc_id] * n, pa.int64()), pa.array([key] * n), pa.array(ks, pa.int32()), pa.array([last] * n, pa.int32()), pa.array(chunks, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "key", "k", "last", "chunk"])
 
 
 def _chunks(long_texts: DataFrame) -> DataFrame:
     """A row per chunk of a distinct (doc_id, text): key, copies, k, last, chunk (with overlap)."""
-    rows = long_texts.select("doc_id", "text").mapInPandas(_cut, "doc_id long, key string, k int, last int, chunk string")
+    rows = long_texts.select("doc_id", "text").mapInArrow(_cut, "doc_id long, key string, k int, last int, chunk string")
     return rows.groupBy("doc_id", "key", "k", "last").agg(F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
 
 
 def _pretokenise(path: str) -> Callable:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, ints = codec(path), pa.list_(pa.int32())
+        for part in _slices(batches):
             heads, tails = [], []
-            for k, last, text in zip(part["k"], part["last"], part["chunk"], strict=True):
+            for k, last, text in zip(part.column("k").to_pylist(), part.column("last").to_pylist(), part.column("chunk"), strict=True):
+                text = text.as_py()
                 edge = len(text) if k == last else len(text) - MARGIN
                 found = c.boundaries(text, 0, edge)
                 heads.append([x for x in found if x <= min(OVERLAP, edge)] if k else [])
                 tails.append([x - CHUNK for x in found if x >= CHUNK] if k < last else [])
-            part["heads"], part["tails"] = heads, tails
-            yield part
+            yield _without(part, None, heads=pa.array(heads, ints), tails=pa.array(tails, ints))
 
     return run
 
 
 def _encode(path: str, column: str) -> Callable:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for part in parts:
-            part["ids"] = [c.encode(t) for t in part.pop(column)]
-            yield part
+        for part in _slices(batches):
+            ids = [np.array(c.encode(t.as_py()), np.int32) for t in part.column(column)]
+            yield _without(part, column, ids=pa.array(ids, pa.list_(pa.int32())))
 
     return run
 
@@ -134,7 +159,7 @@ def _encode(path: str, column: str) -> Callable:
 def encode_long(long_texts: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: a row per row of ``long_texts``."""
     schema = "doc_id long, key string, k int, last int, chunk string, copies long"
-    cut = _chunks(long_texts.select(F.col("doc_id").cast("long"), "text")).mapInPandas(_pretokenise(path), f"{schema}, heads array<int>, tails array<int>")
+    cut = _chunks(long_texts.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_pretokenise(path), f"{schema}, heads array<int>, tails array<int>")
     cut = scratch.stage(cut, "chunks")  # three readers follow
     before = cut.select(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key"), (F.col("k") + 1).alias("b_k"), "tails").withColumnRenamed("tails", "b_tails")
     seams = (
@@ -160,7 +185,7 @@ def encode_long(long_texts: DataFrame, path: str) -> DataFrame:
         .select("doc_id", "key", F.lit(0).alias("k"), "copies", "piece")
     )
     ready = pieces.where("NOT whole").drop("whole").unionByName(one)
-    coded = ready.mapInPandas(_encode(path, "piece"), "doc_id long, key string, k int, copies long, ids array<int>")
+    coded = ready.mapInArrow(_encode(path, "piece"), "doc_id long, key string, k int, copies long, ids array<int>")
     joined_ids = coded.groupBy("doc_id", "key", "copies").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("ids"))
     return joined_ids.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))), "ids").select("doc_id", "ids")
 
@@ -170,7 +195,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     is_long = F.length("text") > CHUNK + OVERLAP
-    short = rows.where(~is_long).mapInPandas(_encode(path, "text"), "doc_id long, ids array<int>")
+    short = rows.where(~is_long).mapInArrow(_encode(path, "text"), "doc_id long, ids array<int>")
     return short.unionByName(encode_long(rows.where(is_long), path))
 
 
@@ -179,27 +204,25 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def of_texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for part in parts:
-            found = [_digest(c, c.encode(t)) for t in part["text"]]
-            yield _framed(part["doc_id"], found)
+        for part in _slices(batches):
+            yield _framed(part, [_digest(c, c.encode(t.as_py())) for t in part.column("text")])
 
-    def of_ids(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for part in parts:
-            yield _framed(part["doc_id"], [_digest(c, ids.tolist()) for ids in part["ids"]])
+        for part in _slices(batches):
+            yield _framed(part, [_digest(c, ids.values.to_numpy()) for ids in part.column("ids")])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     is_long = F.length("text") > CHUNK + OVERLAP
-    short = rows.where(~is_long).mapInPandas(of_texts, schema)
-    return short.unionByName(encode_long(rows.where(is_long), path).mapInPandas(of_ids, schema))
+    short = rows.where(~is_long).mapInArrow(of_texts, schema)
+    return short.unionByName(encode_long(rows.where(is_long), path).mapInArrow(of_ids, schema))
 
 
-def _framed(doc_ids: pd.Series, found: list[tuple[int, str, str]]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-    out.insert(0, "doc_id", doc_ids.to_numpy())
-    return out.astype({"n_tokens": "int64"})
+def _framed(part: pa.RecordBatch, found: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

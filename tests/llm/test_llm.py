@@ -383,6 +383,30 @@ def test_bpe_of_a_very_long_text(spark):
     assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_tasks_hand_on_a_few_rows_at_a_time():
+    """A batch of many long texts is worked off in slices: neither its strings nor its ids are in memory together."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    texts = [f"{i} council on the new bridge over the river " * 360 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "piece"])
+    want = [bpe.codec(path).encode(t) for t in (texts[0], texts[599])]
+    del texts
+    rows, ends = [], []
+    tracemalloc.start()
+    for part in bpe._encode(path, "piece")(iter([batch])):
+        assert part.schema.names == ["doc_id", "ids"]
+        rows.append(part.num_rows)
+        ends.append((part.column("ids")[0].as_py(), part.column("ids")[-1].as_py()) if len(rows) in (1, 10) else None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(rows) <= bpe.SLICES and sum(rows) == 600 and [ends[0][0], ends[-1][1]] == want
+    assert peak < 8e6  # 600 texts have 10 MB, their ids as numbers 60 MB
+
+
 # 7 sharding
 
 

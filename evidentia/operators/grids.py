@@ -148,11 +148,13 @@ def fold_headers(grid: DataFrame, heads: DataFrame) -> DataFrame:
     column by column, the words of a column joined by blanks; ``folded`` counts them on the header's row.
 
     The rows to fold end before the first row below the header that is neither, a grouped
-    minimum; only they and the header are gathered."""
+    minimum; only they and the header are gathered. Rows meet their table's header and end by
+    hash, so that a task holds a few numbers a table and need not sort the rows."""
     c = F.col("cells")
-    marked = grid.join(heads, "table_id").withColumn("below", F.col("row") > F.col("header"))
-    stop = marked.where(F.col("below") & ~(unit_row(c) | header_tail(c))).groupBy("table_id").agg(F.min("row").alias("stop"))
-    marked = marked.join(stop, "table_id", "left")
+    ends = grid.where(~(unit_row(c) | header_tail(c))).select("table_id", "row").join(heads.hint("shuffle_hash"), "table_id")
+    stop = ends.where(F.col("row") > F.col("header")).groupBy("table_id").agg(F.min("row").alias("stop"))
+    bounds = heads.join(stop, "table_id", "left")
+    marked = grid.join(bounds.hint("shuffle_hash"), "table_id").withColumn("below", F.col("row") > F.col("header"))
     top = (F.col("row") == F.col("header")) | (F.col("below") & (F.col("stop").isNull() | (F.col("row") < F.col("stop"))))
     band = marked.where(top).groupBy("table_id", F.col("header").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("band"))
     width = F.array_max(F.transform("band", lambda x: F.size(x)))

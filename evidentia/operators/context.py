@@ -28,8 +28,10 @@ def page_chunks(documents: DataFrame, size: int | None = None, step: int | None
     """doc_id, page, part, text: the prose and table lines of each page of a report; a page that keeps none is left out.
 
     With ``size`` and ``step``, a page's text is cut into overlapping parts that carry its number."""
-    rows = documents.where("text IS NOT NULL").select("doc_id", F.explode(pages_of(F.col("text"))).alias("p"))
-    kept = rows.select("doc_id", "p.page", prose_lines(text.strip_cjk(F.col("p.text"))).alias("text")).where("text <> ''")
+    pages = F.transform(pages_of(F.col("text")), lambda p: F.struct(p["page"].alias("page"), prose_lines(text.strip_cjk(p["text"])).alias("text")))
+    # empty pages go inside the row: a condition on rows would read every page twice
+    rows = documents.select("doc_id", F.explode(F.filter(pages, lambda p: p["text"] != "")).alias("p"))
+    kept = rows.select("doc_id", "p.page", "p.text")
     if size is None:
         return kept.select("doc_id", "page", F.lit(0).alias("part"), "text")
     last = F.greatest(F.length("text") - size, F.lit(0))

@@ -37,26 +37,47 @@ LINE_END = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern for a word between blanks that is one of ``words`` once lowered and bare of punctuation at its ends.
+
+    Words share their beginnings, so that a position is left at the first letter that none has. What lowers to an ASCII
+    letter is its capital and, for k, the kelvin sign."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [f"[{x}{x.upper()}{KELVIN if x == 'k' else ''}]{pattern(rest)}" for x, rest in node.items() if x]
+        return ("(?:" + "|".join(ways) + ")" + "?" * ("" in node)) if ways else ""
+
+    marks, inside = r"""[.,;:()\[\]%$'"]*""", BLANKS[:-1].replace("[", "[^")
+    return rf"(?<!{inside}){marks}{pattern(tree)}{marks}(?!{inside})"
+
+
+KELVIN = "\u212a"
+
+
 def prose_lines(body: Column, least: int = 80) -> Column:
-    """Prose and table lines of a page, joined to paragraphs; a blank or all-capital line ends one. Short pages give an empty text."""
-    verbs = F.array(*map(F.lit, FINITE_VERBS))
-
-    def kept(raw: Column) -> Column:
-        line = F.regexp_replace(raw, rf"\A{BLANKS}|{BLANKS}\z", "")
-        words = F.split(line, BLANKS)
-        bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:()\[\]%$'"]+|[.,;:()\[\]%$'"]+$""", "")))
-        table = (F.size(words) >= 4) & line.rlike(r"\d+\.\d+|\d+%|[1-9][\d,]{4,}") & line.rlike("[A-Za-z]{3,}")
-        good = F.arrays_overlap(bare, verbs) | F.array_contains(bare, "the") | table
+    """Prose and table lines of a page, joined to paragraphs; a blank or all-capital line ends one. Short pages give an empty text, null ones null.
+
+    Lines are trimmed before they are judged, and the text is joined before it is measured: inside a lambda each mention
+    of an expression is worked out again."""
+    sentence, blank, word = any_word((*FINITE_VERBS, "the")), BLANKS[:-1], BLANKS[:-1].replace("[", "[^") + "+"
+
+    def kept(line: Column) -> Column:
+        table = line.rlike(rf"{word}{blank}+{word}{blank}+{word}{blank}+{word}") & line.rlike(r"\d+\.\d+|\d+%|[1-9][\d,]{4,}") & line.rlike("[A-Za-z]{3,}")
         return (
-            F.when(line == "", "\u0001").when(F.size(words) < 3, F.lit(None).cast("string")).when(line.startswith("©") | F.lower(line).rlike("^(source|note):"), F.lit(None).cast("string"))
-            .when(line == F.upper(line), "\u0001").when(good, line)
+            F.when(line == "", "\u0001").when(~line.rlike(rf"{word}{blank}+{word}{blank}+{word}"), F.lit(None).cast("string")).when(line.rlike(r"\A(?:©|[sS][oO][uU][rR][cC][eE]:|[nN][oO][tT][eE]:)"), F.lit(None).cast("string"))
+            .when(line == F.upper(line), "\u0001").when(line.rlike(sentence) | table, line)
         )
 
-    marks = F.array_compact(F.transform(F.split(body, LINE_END), kept))
-    joined = F.array_join(marks, " ")
+    lines = F.transform(F.split(body, LINE_END), lambda raw: F.regexp_replace(raw, rf"\A{BLANKS}|{BLANKS}\z", ""))
+    joined = F.array_join(F.array_compact(F.transform(lines, kept)), " ")
     parts = F.filter(F.transform(F.split(joined, "\u0001"), lambda p: F.trim(p)), lambda p: p != "")
-    out = F.array_join(parts, "\n\n")
-    return F.when(F.length(out) >= least, out).otherwise("")
+    return F.get(F.transform(F.array(F.array_join(parts, "\n\n")), lambda out: F.when(F.length(out) < least, "").otherwise(out)), F.lit(0))
 
 
 def best_by_similarity(claims: DataFrame, vectors: DataFrame, least: float = 0.20, block_rows: int = 1024) -> DataFrame:

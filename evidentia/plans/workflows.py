@@ -158,8 +158,8 @@ c AS (SELECT doc_id, string_agg(txt, chr(10) || chr(10) ORDER BY para) AS txt FR
 SELECT doc_id, length(kept) AS n_chars, md5(kept) AS digest FROM f""",
 )
 def prose(spark, sf):
-    kept = rt.prose_lines(F.col("text"))
-    return _docs(spark, sf).select("doc_id", F.length(kept).cast("long").alias("n_chars"), F.md5(kept).alias("digest"))
+    kept = _docs(spark, sf).select("doc_id", rt.prose_lines(F.col("text")).alias("kept"))
+    return kept.select("doc_id", F.length("kept").cast("long").alias("n_chars"), F.md5("kept").alias("digest"))
 
 
 @query(

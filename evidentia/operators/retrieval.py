@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,11 +197,21 @@ REPORT_MARKERS = (
 STRONG, WEAK, LEAST_WEAK, LEAST_REPORT = 3, 1, 5, 2
 
 
+def _held(t: Column, words: tuple[str, ...]) -> Column:
+    """How many of ``words`` a text holds."""
+    return functools.reduce(operator.add, [t.contains(w).cast("int") for w in words])
+
+
+def _lowered(body: Column, count: Callable[[Column], Column]) -> Column:
+    """``count`` of a text in small letters; the text is lowered once, not for every word that is looked for."""
+    return F.get(F.transform(F.array(F.lower(body)), count), F.lit(0))
+
+
 def marker_scores(body: Column, markers: dict = MARKERS) -> Column:
     """map of type to struct(score, strong): points of the markers found, each counted once, and the number of strong ones."""
-    t = F.lower(F.coalesce(body, F.lit("")))
-    hits = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: t.contains(w)))
-    return F.map_from_arrays(F.array(*map(F.lit, markers)), F.array(*[F.struct((STRONG * hits(s) + WEAK * hits(w)).alias("score"), hits(s).alias("strong")) for s, w in markers.values()]))
+    counts = _lowered(F.coalesce(body, F.lit("")), lambda t: F.array(*[_held(t, words) for pair in markers.values() for words in pair]))
+    points = lambda n, i: F.struct((STRONG * F.get(n, F.lit(2 * i)) + WEAK * F.get(n, F.lit(2 * i + 1))).alias("score"), F.get(n, F.lit(2 * i)).alias("strong"))
+    return F.map_from_arrays(F.array(*map(F.lit, markers)), F.get(F.transform(F.array(counts), lambda n: F.array(*[points(n, i) for i in range(len(markers))])), F.lit(0)))
 
 
 def present_types(scores: Column, least: int = LEAST_WEAK) -> Column:
@@ -208,8 +222,7 @@ def present_types(scores: Column, least: int = LEAST_WEAK) -> Column:
 
 def report_like(name: Column, body: Column) -> Column:
     """Whether name and body read like a market report."""
-    t = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(body, F.lit(""))))
-    return F.size(F.filter(F.array(*map(F.lit, REPORT_MARKERS)), lambda m: t.contains(m))) >= LEAST_REPORT
+    return _lowered(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(body, F.lit(""))), lambda t: _held(t, REPORT_MARKERS)) >= LEAST_REPORT
 
 
 #: Words in the address of a link to a report. Fixed values.

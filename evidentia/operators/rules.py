@@ -65,8 +65,8 @@ def land_class(name: Column, address: Column, zoning: Column) -> Column:
 
 def file_types(files: DataFrame, verdicts: DataFrame, least: int = 3) -> DataFrame:
     """file, types, is_report, confidence and method of files (file, name, body): by markers, else by a model's verdict (file, types, is_report), else by the best guess."""
-    s = files.join(verdicts.select("file", F.col("types").alias("v_types"), F.col("is_report").alias("v_report")), "file", "left")
-    s = s.select("file", "v_types", F.coalesce("v_report", F.lit(False)).alias("v_report"), report_like(F.col("name"), F.col("body")).alias("report"), marker_scores(F.col("body")).alias("s"))
+    s = files.select("file", report_like(F.col("name"), F.col("body")).alias("report"), marker_scores(F.col("body")).alias("s"))  # texts stay where they are, scores meet the verdicts
+    s = s.join(verdicts.select("file", F.col("types").alias("v_types"), F.col("is_report").alias("v_report")), "file", "left").withColumn("v_report", F.coalesce("v_report", F.lit(False)))
     s = s.withColumn("present", present_types(F.col("s"))).withColumn("any", present_types(F.col("s"), 0))
     guess = F.get("any", F.lit(0))
     clear = F.size("present") > 0
